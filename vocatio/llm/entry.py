@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import decontaminate, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_prefix_sum_sharding": sharding.op7_prefix_sum_sharding}
+    return {
+        "op1_suffix_array_decontamination": decontaminate.op1_suffix_array_decontamination,
+        "op7_prefix_sum_sharding": sharding.op7_prefix_sum_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_suffix_array_decontamination": decontaminate.ORACLE_OP1}
