@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, sharding
+from . import bpe, decontaminate, neardup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_decontamination": decontaminate.op1_suffix_array_decontamination,
+        "op2_content_defined_bpe": bpe.op2_content_defined_bpe,
         "op3_minhash_star_components": neardup.op3_minhash_star_components,
         "op7_prefix_sum_sharding": sharding.op7_prefix_sum_sharding,
     }
