@@ -23,12 +23,12 @@ from .textbytes import Words, alnum_table, buffers, list_array, mix, slices, spa
 SLOTS = 1 << 18
 
 #: Beginnings of words that are features, in bytes.
-STEMS = (6, 8)
+STEMS = (4, 5, 6, 8)
 
 #: Terms that are swapped for each other: the groups that comments are known to be misjudged for.
 IDENTITY_TERMS = tuple("women men muslim christian jewish hindu buddhist atheist gay straight lesbian bisexual trans black white asian african latino immigrant refugee disabled blind deaf old young".split())
 
-_SALTS = tuple(np.uint64(x) for x in (0x1D, 0x2F, 0x3B))
+_SALTS = tuple(np.uint64(x) for x in (0x1D, 0x2F, 0x3B, 0x4D, 0x5F))
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +61,8 @@ class Toxicity:
     bias: float
 
 
-def fit(slots: np.ndarray, count: np.ndarray, label: np.ndarray, terms: tuple[str, ...] = IDENTITY_TERMS, penalty: float = 1.0, ridge: float = 2.0, rounds: int = 150, least: int = 3) -> Toxicity:
-    """Minimises the logistic loss, plus ``ridge`` times the squared weights, plus ``penalty`` times
+def fit(slots: np.ndarray, count: np.ndarray, label: np.ndarray, terms: tuple[str, ...] = IDENTITY_TERMS, penalty: float = 1.0, sparse: float = 4.0, rounds: int = 150, least: int = 3) -> Toxicity:
+    """Minimises the logistic loss, plus ``sparse`` times the sum of absolute weights, plus ``penalty`` times
     the mean squared change of a labelled sentence's score under swaps of identity terms.
 
     Every labelled row takes part in the swaps: with each term it holds replaced by another, and,
@@ -73,9 +73,15 @@ def fit(slots: np.ndarray, count: np.ndarray, label: np.ndarray, terms: tuple[st
     if not n or label.min() == label.max():
         p = (label.sum() + 1) / (n + 2)
         return Toxicity(weight.astype(np.float32), float(np.log(p / (1 - p))))
-    kept = np.bincount(slots, minlength=SLOTS) >= least
-    row = np.repeat(np.arange(n), count)[kept[slots]]
-    slots = slots[kept[slots]]
+    used = np.bincount(slots, minlength=SLOTS) >= least
+    row = np.repeat(np.arange(n), count)[used[slots]]
+    slots = slots[used[slots]]
+    by_slot = np.argsort(slots, kind="stable")
+    slot_row = row[by_slot]
+    names, slot_head = np.unique(slots[by_slot], return_index=True)
+    row_size = np.bincount(row, minlength=n)
+    full = np.flatnonzero(row_size)
+    row_head = (np.cumsum(row_size) - row_size)[full]
     own = _slots_of(terms)
     holds = np.zeros((n, len(terms)), bool)
     for t, s in enumerate(own):
@@ -98,13 +104,19 @@ def fit(slots: np.ndarray, count: np.ndarray, label: np.ndarray, terms: tuple[st
     bias = float(np.log(label.mean() / (1 - label.mean())))
     sums, bias_sum = np.full(SLOTS, 1e-8), 1e-8
     for _ in range(rounds):
-        z = np.bincount(row, weight[slots], minlength=n) + bias
+        z = np.full(n, bias)
+        if len(full):
+            z[full] += np.add.reduceat(weight[slots], row_head)
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - label
-        g = np.bincount(slots, error[row], minlength=SLOTS) + ridge * weight
+        g = np.zeros(SLOTS)
+        if len(names):
+            g[names] = np.add.reduceat(error[slot_row], slot_head)
         change = np.bincount(kind_row, kind_sign * weight[kind_slot], minlength=len(kinds))
         g += penalty * np.bincount(kind_slot, kind_sign * (change * times)[kind_row], minlength=SLOTS)
         sums += g * g
-        weight -= 0.3 * g / np.sqrt(sums)
+        rate = 0.5 / np.sqrt(sums)
+        weight -= rate * g
+        weight = np.sign(weight) * np.maximum(np.abs(weight) - rate * sparse, 0)
         bias_sum += error.sum() ** 2
         bias -= 0.3 * error.sum() / np.sqrt(bias_sum)
     return Toxicity(weight.astype(np.float32), bias)
