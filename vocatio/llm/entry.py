@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, pii, quality, sharding, toxicity
+from . import ann, bpe, decontaminate, neardup, pii, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_content_defined_bpe": bpe.op2_content_defined_bpe,
         "op3_minhash_star_components": neardup.op3_minhash_star_components,
         "op5_crf_personal_data": pii.op5_crf_personal_data,
+        "op6_anisotropic_neighbours": ann.op6_anisotropic_neighbours,
         "op7_prefix_sum_sharding": sharding.op7_prefix_sum_sharding,
         "op9_counterfactual_toxicity": toxicity.op9_counterfactual_toxicity,
         "op10_boosted_quality": quality.op10_boosted_quality,
