@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontaminate, neardup, pii, quality, sharding, toxicity
+from . import ann, bpe, chat, decontaminate, neardup, pii, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_array_decontamination": decontaminate.op1_suffix_array_decontamination,
         "op2_content_defined_bpe": bpe.op2_content_defined_bpe,
         "op3_minhash_star_components": neardup.op3_minhash_star_components,
+        "op4_role_repair": chat.op4_role_repair,
         "op5_crf_personal_data": pii.op5_crf_personal_data,
         "op6_anisotropic_neighbours": ann.op6_anisotropic_neighbours,
         "op7_prefix_sum_sharding": sharding.op7_prefix_sum_sharding,
