@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, decontaminate, neardup, pii, quality, sharding, toxicity
+from . import ann, bpe, chat, decontaminate, neardup, passages, pii, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_crf_personal_data": pii.op5_crf_personal_data,
         "op6_anisotropic_neighbours": ann.op6_anisotropic_neighbours,
         "op7_prefix_sum_sharding": sharding.op7_prefix_sum_sharding,
+        "op8_collinear_passages": passages.op8_collinear_passages,
         "op9_counterfactual_toxicity": toxicity.op9_counterfactual_toxicity,
         "op10_boosted_quality": quality.op10_boosted_quality,
     }

@@ -7,10 +7,11 @@
    smallest id, its hub: one pair a member, however large the bucket.
 4. A pair whose signatures agree enough is confirmed on the full sets, rebuilt from the texts.
 5. Confirmed links give components, by alternating large-star and small-star.
-6. A bucket whose members are still in several components may hide links between them. All
-   members outside the bucket's main component are compared by signature with the members of
-   other components, in blocks inside the tasks, and what agrees enough is confirmed likewise.
-   That leaves no untried pair between two components of a bucket, so one such round is enough.
+6. Documents that buckets join, by whatever chain, form a coarse group; every link lies inside one.
+   Where a coarse group still has several components, all members outside its largest component
+   are compared on full sets with the members of other components, in blocks inside the tasks;
+   a block gives only as many links as join its components. No pair of the two kinds stays
+   untried, so one such round is enough.
 
 A link of similarity s is missed only if no band agrees, (1 - s**ROWS)**BANDS: below 1e-6 at 0.85.
 """
@@ -35,8 +36,9 @@ BANDS, ROWS = 24, 5
 #: 0.85 has 102 of 120 on average with a deviation of 3.9; fewer than 74 are 7 deviations away.
 LEAST_AGREEING = 0.62
 
-#: Members of a bucket compared with as many others at a time.
-BLOCK = 512
+#: Shingles of the members that a task compares with as many others at a time; a member counts as
+#: ROW_SHINGLES more, so that a block has a bounded number of members as well.
+BLOCK_SHINGLES, ROW_SHINGLES = 500_000, 200
 
 SKETCH = "struct<n:bigint,fp1:bigint,fp2:bigint,bands:array<bigint>,sig:binary>"
 
@@ -197,58 +199,127 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -
     return both.where(den * F.col("both") >= num * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
 
 
-def _hidden(least: int):
-    """Pairs of members of different components whose signatures agree enough. Rows come sorted by
-    group, within it the left block before the right one; a group has some BLOCK rows a side."""
+def overlaps(a: np.ndarray, a_row: np.ndarray, n: int, b: np.ndarray, b_row: np.ndarray, m: int) -> np.ndarray:
+    """Intersection sizes of n sets with m sets. Shingles that few members have are counted pair by
+    pair, the others by products of 0-1 matrices, some columns at a time."""
+    out = np.zeros((n, m), np.float32)
+    names = np.intersect1d(a, b)
+    if not len(names):
+        return out
+
+    def known(x: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+        ok = names[at] == x
+        order = np.argsort(at[ok], kind="stable")
+        return at[ok][order], row[ok][order], np.bincount(at[ok], minlength=len(names))
+
+    at_a, row_a, count_a = known(a, a_row)
+    at_b, row_b, count_b = known(b, b_row)
+    first_b = np.cumsum(count_b) - count_b
+    rare = count_a * count_b <= 64
+    i = np.flatnonzero(rare[at_a])
+    times = count_b[at_a[i]]
+    left = np.repeat(row_a[i], times)
+    right = row_b[np.repeat(first_b[at_a[i]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    out += np.bincount(left * m + right, minlength=n * m).reshape(n, m)
+    common = np.flatnonzero(~rare)
+    column = np.full(len(names), -1)
+    for c in range(0, len(common), 1024):
+        cols = common[c : c + 1024]
+        column[:] = -1
+        column[cols] = np.arange(len(cols))
+        x, y = np.zeros((n, len(cols)), np.float32), np.zeros((m, len(cols)), np.float32)
+        ka, kb = column[at_a], column[at_b]
+        x[row_a[ka >= 0], ka[ka >= 0]] = 1
+        y[row_b[kb >= 0], kb[kb >= 0]] = 1
+        out += x @ y.T
+    return out
+
 
-    def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
+def _joining(num: int, den: int):
+    """Links between members of different components, as few as join the same members. Rows come
+    sorted by group, in it the left block before the right one."""
+
+    def links(t: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, comp, right = (t.column(c).to_numpy() for c in ("id", "component", "right"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
-        left = np.flatnonzero(~right.astype(bool))
-        right = np.flatnonzero(right.astype(bool))
-        for i in left:
-            hit = right[comp[right] != comp[i]]
-            hit = hit[(sig[hit] == sig[i]).sum(axis=1) >= least]
-            if len(hit):
-                yield pa.RecordBatch.from_pydict({"u": pa.array(np.maximum(ids[hit], ids[i]), pa.int64()), "v": pa.array(np.minimum(ids[hit], ids[i]), pa.int64())})
-
-    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = t.column("set").combine_chunks()
+        size = pc.list_value_length(sets).to_numpy()
+        value, row = sets.flatten().to_numpy(), np.repeat(np.arange(len(ids)), size)
+        n = int((~right.astype(bool)).sum())
+        if not n or n == len(ids):
+            return
+        of_left = row < n
+        both = overlaps(value[of_left], row[of_left], n, value[~of_left], row[~of_left] - n, len(ids) - n)
+        linked = (den * both >= num * (size[:n, None] + size[None, n:] - both)) & (comp[:n, None] != comp[None, n:])
+        # a forest of the links: whole components are reached at once
+        names, group = np.unique(comp, return_inverse=True)
+        reached = np.zeros(len(names), bool)
+        u, v = [], []
+        for seed in range(n):
+            if reached[group[seed]]:
+                continue
+            reached[group[seed]] = True
+            todo = [group[seed]]
+            while todo:
+                g = todo.pop()
+                for i in np.flatnonzero(group[:n] == g):
+                    for j in np.flatnonzero(linked[i] & ~reached[group[n:]]):
+                        if not reached[group[n + j]]:
+                            reached[group[n + j]] = True
+                            todo.append(group[n + j])
+                            u.append(max(ids[i], ids[n + j]))
+                            v.append(min(ids[i], ids[n + j]))
+                for j in np.flatnonzero(group[n:] == g):
+                    for i in np.flatnonzero(linked[:, j] & ~reached[group[:n]]):
+                        if not reached[group[i]]:
+                            reached[group[i]] = True
+                            todo.append(group[i])
+                            u.append(max(ids[i], ids[n + j]))
+                            v.append(min(ids[i], ids[n + j]))
+        if u:
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    def join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
         for batch in it:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "hash", "lb", "rb")])
+            keys = np.stack([batch.column(c).to_numpy() for c in ("coarse", "lb", "rb")])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             for i, j in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 key = tuple(keys[:, i])
                 if held and key != last:
-                    yield from pairs(held)
+                    yield from links(pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(i, j - i))
                 last = key
         if held:
-            yield from pairs(held)
-
-    return compare
-
-
-def _across(crowd: DataFrame, comp: DataFrame, ids: DataFrame, least: int) -> DataFrame:
-    """Pairs (u, v) of one bucket in different components whose signatures agree enough."""
-    labelled = crowd.join(comp.withColumnRenamed("node", "id"), "id", "left").select("band", "hash", "id", F.coalesce("component", "id").alias("component"))
-    per = labelled.groupBy("band", "hash", "component").agg(F.count("*").alias("m"))
-    # by bucket: its largest component, the members in it and those outside
-    main = per.groupBy("band", "hash").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", F.col("component").alias("main"))).alias("top")).where("parts > 1")
-    main = main.select("band", "hash", "top.main", F.expr(f"(all - top.m + {BLOCK - 1}) div {BLOCK}").alias("lefts"), F.expr(f"(all + {BLOCK - 1}) div {BLOCK}").alias("rights"))
-    rows = labelled.join(main, ["band", "hash"])
+            yield from links(pa.Table.from_batches(held))
+
+    return join
+
+
+def _across(star: DataFrame, comp: DataFrame, ids: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) between components of one coarse group, enough to join what links join."""
+    coarse = components(star).select(F.col("node").alias("id"), F.col("component").alias("coarse"))
+    fine = comp.select(F.col("node").alias("id"), "component")
+    # sets too small to be linked with another one than their like are left out
+    sized = ids.groupBy("id").agg(F.max("n").alias("n")).where(f"{den} * (n - 1) >= {num} * n")
+    labelled = coarse.join(sized, "id").join(fine, "id", "left").select("coarse", "id", (F.col("n") + ROW_SHINGLES).alias("w"), F.coalesce("component", "id").alias("component"))
+    labelled = cut(labelled)
+    per = labelled.groupBy("coarse", "component").agg(F.sum("w").alias("w"))
+    torn = per.groupBy("coarse").agg(F.count("*").alias("parts"), F.sum("w").alias("all"), F.max(F.struct("w", F.col("component").alias("main"))).alias("top")).where("parts > 1")
+    torn = torn.select("coarse", "top.main", F.expr(f"(all - top.w + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES}").alias("lefts"), F.expr(f"(all + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES}").alias("rights"))
+    rows = cut(labelled.join(torn, "coarse"))
+    sets = cut(texts.join(rows.select("id").distinct(), "id", "left_semi").select("id", set_builder(k)("text").alias("set")))
     block = lambda n: F.expr(f"pmod(xxhash64(id), {n})")
     left = rows.where("component <> main").withColumn("lb", block("lefts")).withColumn("rb", F.explode(F.expr("sequence(0L, rights - 1)"))).withColumn("right", F.lit(False))
     right = rows.withColumn("rb", block("rights")).withColumn("lb", F.explode(F.expr("sequence(0L, lefts - 1)"))).withColumn("right", F.lit(True))
-    cols = ["band", "hash", "lb", "rb", "right", "id", "component"]
-    sides = left.select(*cols).union(right.select(*cols)).join(ids.select("id", "sig").dropDuplicates(["id"]), "id")
-    keyed = sides.repartition("band", "hash", "lb", "rb").sortWithinPartitions("band", "hash", "lb", "rb", "right")
-    return keyed.mapInArrow(_hidden(least), "u bigint, v bigint").distinct()
+    cols = ["coarse", "lb", "rb", "right", "id", "component"]
+    sides = left.select(*cols).union(right.select(*cols)).join(sets, "id")
+    keyed = sides.repartition("coarse", "lb", "rb").sortWithinPartitions("coarse", "lb", "rb", "right")
+    return keyed.mapInArrow(_joining(num, den), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,18 +345,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     members = reps.select("id", F.posexplode("bands").alias("band", "hash"))
     buckets = members.groupBy("band", "hash").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    crowd = cut(members.join(buckets, ["band", "hash"]).select("band", "hash", "id", "hub"))
-    star = crowd.where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()
+    star = cut(members.join(buckets, ["band", "hash"]).where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct())
 
     least = int(LEAST_AGREEING * BANDS * ROWS)
     a = ids.select(F.col("id").alias("u"), F.col("n").alias("u_n"), F.col("sig").alias("a"))
     b = ids.select(F.col("id").alias("v"), F.col("n").alias("v_n"), F.col("sig").alias("b"))
     alike = star.join(a, "u").join(b, "v").where(f"{den} * least(u_n, v_n) >= {num} * greatest(u_n, v_n)").where(agreeing("a", "b") >= least)
-    tried = cut(alike.select("u", "v").distinct())
-    links = cut(_confirmed(tried, texts, k, num, den))
-    comp = components(links)
-    untried = cut(_across(crowd, comp, ids, least).join(tried, ["u", "v"], "left_anti"))
-    more = cut(_confirmed(untried, texts, k, num, den))
+    comp = components(_confirmed(cut(alike.select("u", "v").distinct()), texts, k, num, den))
+    more = cut(_across(star, comp, ids, texts, k, num, den))
     if not more.isEmpty():
         comp = components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     labels = comp.select(F.col("node").alias("rep"), "component")
