@@ -1,15 +1,345 @@
-"""The registered queries of the job-market engine and their DuckDB counterparts."""
+"""The registered queries of the job-market engine: each applies one operator to whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vocatio.functions import requests, text
+from vocatio.operators import backfill, cascade, checks, fuzzy, ledger, resolvers
+from vocatio.operators.snapshots import batches
+from vocatio.plans import gold, oracle, silver
+from vocatio.sources import adapter, html
+from vocatio.sources.adapter import read
+
+BASE = "https://jobs.example.com"
+
+
+class Mart:
+    """The layers over one folder of tables, each built when first asked for.
+
+    Tables that others are built on are kept, in memory or on executors' disks, as a warehouse
+    keeps its tables: views read them and don't build them again. What an executor loses is
+    computed again from its lineage.
+    """
+
+    KEPT = ("postings", "stg", "titles_dim", "companies_dim", "locations_dim", "titles_old", "companies_old", "locations_old", "titles_next", "companies_next", "locations_next", "facts")
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+        self._made: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        if name not in self._made:
+            df = getattr(self, f"_{name}")()
+            self._made[name] = df.persist() if name in self.KEPT else df
+        return self._made[name]
+
+    def release(self) -> None:
+        for name in self._made.keys() & set(self.KEPT):
+            self._made[name].unpersist()
+
+    def _postings(self):
+        return adapter.postings(self.spark, self.dir)
+
+    def _titles(self):
+        return adapter.title_map(self.spark, self.dir)
+
+    def _locations(self):
+        return adapter.location_map(self.spark, self.dir)
+
+    def _seniorities(self):
+        return adapter.seniority_map(self.spark, self.dir)
+
+    def _keys(self):
+        return cascade.posting_keys(self.postings)
+
+    def _ready(self):
+        return cascade.readiness(self.postings, self.titles, self.locations, self.seniorities).select("scrape_run_id", "job_posting_raw_id")
+
+    def _stg(self):
+        return silver.stg_job_postings(self.postings, self.ready, self.titles, self.locations, self.seniorities)
+
+    def _stg_old(self):
+        return self.stg.where("scraped_at < timestamp_ntz '1996-01-01 00:00:00'")
+
+    def _titles_dim(self):
+        return silver.dim_titles(self.stg)
+
+    def _companies_dim(self):
+        return silver.dim_companies(self.stg)
+
+    def _locations_dim(self):
+        return silver.dim_locations(self.stg)
+
+    def _titles_old(self):
+        return silver.dim_titles(self.stg_old)
+
+    def _companies_old(self):
+        return silver.dim_companies(self.stg_old)
+
+    def _locations_old(self):
+        return silver.dim_locations(self.stg_old)
+
+    def _titles_next(self):
+        return silver.dim_titles(self.stg, self.titles_old)
+
+    def _companies_next(self):
+        return silver.dim_companies(self.stg, self.companies_old)
+
+    def _locations_next(self):
+        return silver.dim_locations(self.stg, self.locations_old)
+
+    def _facts(self):
+        return silver.fact_job_postings(self.stg, self.titles_dim, self.companies_dim, self.locations_dim)
+
+    def _found(self):
+        return adapter.skills(self.spark, self.dir)
+
+    def _skills(self):
+        return silver.dim_skills(read(self.spark, self.dir, "part").select(F.col("p_name").alias("skill_name")))
+
+    def _bridge(self):
+        return silver.skill_bridge(self.found, self.skills)
+
+    def _runs(self):
+        ids = self.postings.select("scrape_run_id").union(self.spark.createDataFrame([(-1,)], "scrape_run_id long")).distinct()
+        return ids.withColumn("status", F.when(F.col("scrape_run_id") % 7 == 3, "failed").otherwise("successful"))
+
+    def _ledger(self):
+        rows = [(1, [0, 1, 2], "successful", "skill_extraction"), (2, [4, 5], "failed", "dbt"), (3, [6, 8, 9], "successful", "skill_extraction"), (4, [11], "running", "normalization")]
+        made = self.spark.createDataFrame(rows, "normalization_process_run_id long, scrape_run_ids array<long>, status string, stage string")
+        return made.withColumns({"error": F.lit(None).cast("string"), "started_at": F.lit("2024-01-01").cast("timestamp"), "finished_at": F.when(F.col("status") != "running", F.lit("2024-01-02").cast("timestamp"))})
+
+    def _unresolved(self):
+        return cascade.unresolved(self.keys, self.titles, self.locations, self.seniorities)
+
+    def _ok_runs(self):
+        return self.runs.where("status = 'successful'")
+
+
+_last: list[Mart] = []
+
+
+def mart(spark: SparkSession, sf_dir: str) -> Mart:
+    """The layers of the folder; those of the folder before are let go."""
+    if not _last or _last[0].spark is not spark or _last[0].dir != sf_dir:
+        if _last and _last[0].spark is spark:
+            _last[0].release()
+        _last[:] = [Mart(spark, sf_dir)]
+    return _last[0]
+
+
+def _of(f: Callable[[Mart], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(mart(spark, sf_dir))
+
+
+def _fact_next(m: Mart) -> DataFrame:
+    old = silver.fact_job_postings(m.stg_old, m.titles_old, m.companies_old, m.locations_old)
+    return silver.fact_job_postings(m.stg, m.titles_next, m.companies_next, m.locations_next, existing=old)
+
+
+def _staging_upsert(m: Mart) -> DataFrame:
+    """Ready pairs staged by an old load; those scraped since are sent again."""
+    staged = m.ready.withColumn("load", F.lit("old"))
+    new = m.ready.join(m.postings.where("scraped_at >= timestamp_ntz '1996-01-01 00:00:00'").select("job_posting_raw_id"), "job_posting_raw_id", "left_semi")
+    return ledger.staging_upsert(staged.withColumnRenamed("load", "ready_at"), new, F.lit("new")).withColumnRenamed("ready_at", "load")
+
+
+def _parse_semicolon(m: Mart) -> DataFrame:
+    p = read(m.spark, m.dir, "part")
+    raw = F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit(" ; ")), F.lit(";;"), F.col("p_type"))
+    return p.select("p_partkey", text.parse_semicolon(raw).alias("items"))
+
+
+def _clean_seniority(m: Mart) -> DataFrame:
+    o = read(m.spark, m.dir, "orders")
+    p = F.col("o_orderpriority")
+    raw = F.when(p == "1-URGENT", " Executive").when(p == "2-HIGH", "SENIOR ").when(p == "3-MEDIUM", "Not Applicable").otherwise(p)
+    return o.select("o_orderkey", text.clean_seniority(raw).alias("label"))
+
+
+def _distinct_skills(m: Mart) -> DataFrame:
+    """The part types of an order; a line's skills are its type in two spellings."""
+    items = read(m.spark, m.dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(read(m.spark, m.dir, "part").select("p_partkey", "p_type"), "p_partkey")
+    # one order has a handful of lines
+    lists = items.groupBy("l_orderkey").agg(F.collect_list("p_type").alias("t"))
+    skills = text.distinct_skills(F.flatten(F.transform("t", lambda x: F.array(x, F.lower(x)))), 1000)
+    return lists.select("l_orderkey", F.size(skills).cast("long").alias("n"), F.array_min(F.transform(skills, F.lower)).alias("first_skill"))
+
+
+def _seniority_from_raw(m: Mart) -> DataFrame:
+    more = ["director", "Mid-Senior level", "Associate", "Team Lead", "Manager", "Internship", "TBD", "Level II", "Level III"]
+    v = m.postings.select(F.col("seniority_level_raw").alias("v")).union(m.spark.createDataFrame([(x,) for x in more], "v string")).distinct()
+    return v.withColumn("level", text.seniority_from_raw(F.col("v")))
+
+
+def _seniority_from_title(m: Mart) -> DataFrame:
+    k, name = F.col("p_size") % 6, F.col("p_name")
+    title = F.when(k == 0, F.concat(name, F.lit(" "), F.col("p_size").cast("string"), F.lit(" years"))).when(k == 1, F.concat(F.lit("Senior "), name)).when(k == 2, F.concat(name, F.lit(" II"))).when(k == 3, F.concat(F.lit("Chief of "), name)).when(k == 4, F.concat(F.lit("Various "), name)).otherwise(name)
+    return read(m.spark, m.dir, "part").select("p_partkey", title.alias("title")).withColumn("level", text.seniority_from_title(F.col("title")))
+
+
+def _skills_extract(m: Mart) -> DataFrame:
+    words = ["the", "trash", "clown", "le", "de", "der", "und", "with", "edst", "for"]
+    return read(m.spark, m.dir, "documents").select("doc_id", F.size(resolvers.extract_skills(F.col("text"), words)).cast("long").alias("n_skills"))
+
+
+def _dim_skills_upsert(m: Mart) -> DataFrame:
+    """The same names sent twice, in another spelling: nothing changes."""
+    return silver.dim_skills(read(m.spark, m.dir, "part").select(F.upper("p_name").alias("skill_name")), m.skills)
+
+
+def _unprocessed(m: Mart) -> DataFrame:
+    docs = read(m.spark, m.dir, "documents").select(F.col("doc_id").alias("job_posting_raw_id"), F.col("text").alias("description"))
+    ids = read(m.spark, m.dir, "orders").select(F.col("o_orderkey").alias("job_posting_raw_id"))
+    done = read(m.spark, m.dir, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").alias("job_posting_raw_id"))
+    return silver.unprocessed_descriptions(docs, ids, done)
+
+
+def _ledger_update(m: Mart) -> DataFrame:
+    out = ledger.update_run(m.ledger, 4, F.lit("2024-01-03").cast("timestamp"), "failed", "dbt", "stopped")
+    return out.select("normalization_process_run_id", "status", "stage", "error", F.col("finished_at").isNotNull().alias("finished"), F.size("scrape_run_ids").cast("long").alias("n_runs"))
+
+
+def _map_upsert(m: Mart) -> DataFrame:
+    new = m.spark.createDataFrame([("brand 1", "role nine", "llm"), ("brand 25", "role 0", "fuzzy")], "key_normalized string, value_normalized string, method string")
+    return cascade.map_upsert(m.titles, new)
+
+
+def _backfill(m: Mart) -> DataFrame:
+    legacy = read(m.spark, m.dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("created_at"))
+    stored = read(m.spark, m.dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("job_id"))
+    runs = backfill.import_runs(backfill.to_import(legacy, stored, F.lit("2024-01-01").cast("timestamp_ntz")))
+    return runs.select("scrape_run_id", F.col("batch_no").cast("long").alias("batch_no"), F.col("jobs_seen_count").cast("long").alias("jobs_seen_count"), "started_at", "finished_at", F.col("start_index").cast("long").alias("start_index"))
+
+
+def _request_pages(m: Mart) -> DataFrame:
+    url = requests.search_url(f"{BASE}/search", F.lit("data engineer"), F.col("start"), f_TPR=F.lit(requests.TIME_RANGES["past_24h"]), sortBy=F.lit(requests.SORTS["most_recent"]))
+    return requests.pages(m.spark).withColumn("url", url)
+
+
+def _response_class(m: Mart) -> DataFrame:
+    kind = F.col("event_type")
+    code = F.when(kind == "click", 200).when(kind == "error", 404).otherwise(429)
+    return read(m.spark, m.dir, "events").select("event_id", requests.response_class(code).alias("class"))
+
+
+def _early_stop(m: Mart) -> DataFrame:
+    bought = F.sum(((F.col("event_type") == "purchase") & (F.col("value") > 60)).cast("long"))
+    return requests.runs_until_dry(read(m.spark, m.dir, "events").groupBy(F.col("user_id").alias("batch_no")).agg(bought.alias("inserted")))
+
+
+def _overlap(m: Mart) -> DataFrame:
+    """How many skills three candidates, known by the parts they ordered, share with each posting."""
+    people = read(m.spark, m.dir, "orders").where("o_custkey < 3").select(F.col("o_custkey").alias("candidate"), F.col("o_orderkey").alias("job_posting_raw_id"))
+    own = people.join(m.bridge, "job_posting_raw_id").select("candidate", "skill_id").distinct()
+    return m.bridge.join(own, "skill_id").groupBy("candidate", "job_posting_raw_id").agg(F.count("*").alias("matched"))
+
+
+def _latest(m: Mart) -> DataFrame:
+    # an aggregate, not a window: partial maxima leave little to shuffle
+    return m.facts.groupBy("company").agg(F.max(F.struct("scraped_at", "job_posting_raw_id")).alias("x")).select("company", "x.job_posting_raw_id", "x.scraped_at")
+
+
+def _window_demand(m: Mart) -> DataFrame:
+    year = m.facts.where("scraped_at >= timestamp_ntz '1996-01-01 00:00:00' and scraped_at < timestamp_ntz '1997-01-01 00:00:00'")
+    n = year.join(m.bridge, "job_posting_raw_id").join(m.skills, "skill_id").groupBy("skill_name").agg(F.count("*").alias("job_posting_count"))
+    return n.withColumn("demand_rank", F.dense_rank().over(Window.orderBy(F.desc("job_posting_count"), "skill_name")))
+
+
+def _fuzzy(m: Mart, by_value: bool) -> DataFrame:
+    """Titles with a letter too many against the map's values or keys."""
+    t = m.titles
+    keys = t.select(F.concat(F.col("value_normalized" if by_value else "key_normalized"), F.lit("s")).alias("key")).distinct()
+    cands = t.select(F.col("value_normalized" if by_value else "key_normalized").alias("candidate"))
+    return fuzzy.best_match(keys, cands, 0.90 if by_value else fuzzy.KEY_THRESHOLD)
+
+
+def _fuzzy_seniority(m: Mart) -> DataFrame:
+    own = m.seniorities.select("use_title_key", F.col("source_key").alias("key_normalized"), "value_normalized")
+    keys = own.select("use_title_key", F.concat("key_normalized", F.lit("s")).alias("key"))
+    return fuzzy.resolve(keys, own, ["use_title_key"])
+
+
+_CARDS = '<ul><li><h3>{name}</h3><h4>{type}</h4><span class="job-search-card__location">Town</span><a class="base-card__full-link" href="https://jobs.example.com/view/{slug}-{id}?position=1&pageNum=0&x=y">go</a></li><li><p>no card</p></li></ul>'
+_POST = '<h1 class="topcard__title">{name}</h1><a class="topcard__org-name-link">{type}</a><ul><li class="description__job-criteria-item"><h3 class="description__job-criteria-subheader">Seniority level</h3><span class="description__job-criteria-text--criteria">Mid&nbsp; level</span></li></ul><div class="show-more-less-html__markup">Line<br>two<script>x</script></div>'
+
+
+def _rendered(m: Mart, template: str) -> DataFrame:
+    """A page for each part."""
+    out = F.lit(template)
+    for slot, value in (("{name}", F.col("p_name")), ("{type}", F.col("p_type")), ("{slug}", F.replace("p_name", F.lit(" "), F.lit("-"))), ("{id}", F.col("p_partkey").cast("string"))):
+        out = F.replace(out, F.lit(slot), value)
+    return read(m.spark, m.dir, "part").select("p_partkey", out.alias("html"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = {
+        "gold_top_skills": lambda m: gold.top_skills(m.facts, m.bridge, m.skills),
+        "gold_skills_by_role": lambda m: gold.skills_by_role(m.facts, m.bridge, m.skills),
+        "gold_top_skills_by_industry": lambda m: gold.top_skills_by_industry(m.facts, m.bridge, m.skills),
+        "gold_company_hiring_demand": lambda m: gold.company_hiring_demand(m.facts),
+        "gold_location_demand": lambda m: gold.location_demand(m.facts),
+        "gold_job_market_summary": lambda m: gold.job_market_summary(m.facts),
+        "stg_job_postings": lambda m: m.stg,
+        "dim_titles": lambda m: m.titles_dim,
+        "dim_companies": lambda m: m.companies_dim,
+        "dim_locations": lambda m: m.locations_dim,
+        "dim_titles_incremental": lambda m: m.titles_next,
+        "dim_companies_incremental": lambda m: m.companies_next,
+        "dim_locations_incremental": lambda m: m.locations_next,
+        "fact_job_postings": lambda m: m.facts,
+        "fact_job_postings_incremental": _fact_next,
+        "staging_ready": lambda m: ledger.staging_ready(m.postings, read(m.spark, m.dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("job_posting_raw_id"))),
+        "staging_upsert": _staging_upsert,
+        "clean_keys": lambda m: m.keys.drop("scrape_run_id"),
+        "clean_keys_sql_variant": lambda m: m.postings.select("title_raw", text.clean_key_sql(F.col("title_raw")).alias("title_key")).distinct(),
+        "parse_semicolon": _parse_semicolon,
+        "clean_seniority": _clean_seniority,
+        "distinct_skills": _distinct_skills,
+        "token_sort": lambda m: read(m.spark, m.dir, "part").select("p_name", text.token_sort(F.col("p_name")).alias("sorted")).distinct(),
+        "job_id_from_url": lambda m: m.postings.select("job_posting_raw_id", "source_url", text.job_id_from_url(F.col("source_url")).alias("url_job_id")),
+        "clean_url": lambda m: m.postings.select("job_posting_raw_id", text.clean_url(F.col("source_url")).alias("url")),
+        "unresolved_keys": lambda m: m.unresolved,
+        "unresolved_keys_strict": lambda m: cascade.unresolved(m.keys, m.titles, m.locations, m.seniorities, strict=True).where("domain = 'seniority'").select("use_title_key", "key"),
+        "readiness": lambda m: m.ready,
+        "normalization_summary": lambda m: cascade.summary(m.keys, m.unresolved, m.ready),
+        "candidates": lambda m: cascade.candidates(m.postings, m.ok_runs, m.ready).select("scrape_run_id", "job_posting_raw_id"),
+        "seniority_from_raw": _seniority_from_raw,
+        "seniority_from_title": _seniority_from_title,
+        "fuzzy_value": lambda m: _fuzzy(m, True),
+        "fuzzy_key": lambda m: _fuzzy(m, False),
+        "fuzzy_seniority": _fuzzy_seniority,
+        "skills_extract": _skills_extract,
+        "dim_skills_upsert": _dim_skills_upsert,
+        "skills_bridge_upsert": lambda m: silver.skill_bridge(m.found, m.skills, m.bridge),
+        "unprocessed_descriptions": _unprocessed,
+        "runs_to_process": lambda m: ledger.runs_to_process(m.runs, m.postings, m.ledger),
+        "unextracted_ready": lambda m: ledger.unextracted_ready(m.postings, m.ready, m.bridge, m.ok_runs),
+        "ledger_update": _ledger_update,
+        "map_upsert": _map_upsert,
+        "legacy_backfill": _backfill,
+        "dq_duplicates": lambda m: checks.duplicates(read(m.spark, m.dir, "lineitem"), ["l_orderkey", "l_linenumber"]),
+        "dq_orphans": lambda m: checks.orphans(read(m.spark, m.dir, "orders"), read(m.spark, m.dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"]),
+        "dq_accepted": lambda m: checks.not_accepted(read(m.spark, m.dir, "orders"), "o_orderpriority", ("1-URGENT", "2-HIGH", "3-MEDIUM")),
+        "dq_nulls": lambda m: checks.nulls(m.postings, ["title_raw", "company_raw", "scraped_at"]),
+        "search_request_pages": _request_pages,
+        "batch_of_three": lambda m: batches(m.postings.select("scrape_run_id").distinct(), ["scrape_run_id"], 3).withColumn("batch_no", F.col("batch_no").cast("long")),
+        "response_class": _response_class,
+        "early_stop": _early_stop,
+        "candidate_skill_overlap": _overlap,
+        "latest_posting_per_company": _latest,
+        "skill_demand_in_window": _window_demand,
+        "parse_search_cards": lambda m: html.search_cards(_rendered(m, _CARDS)),
+        "parse_job_post": lambda m: html.job_posts(_rendered(m, _POST)),
+    }
+    return {name: _of(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.QUERIES)
