@@ -108,7 +108,10 @@ class SuffixArray:
             less = np.zeros(len(live), bool)  # the suffix stands before the probe
             open_ = np.arange(len(live))
             for d in range(most):
-                open_ = open_[length[live[open_]] > d]
+                more = length[live[open_]] > d
+                if right:
+                    less[open_[~more]] = True  # all of the probe's words agree
+                open_ = open_[more]
                 if not len(open_):
                     break
                 here = pos[open_] + d
@@ -118,7 +121,7 @@ class SuffixArray:
                 less[open_[ended | (a < b)]] = True
                 open_ = open_[~ended & (a == b)]
             if right:
-                less[open_] = True  # all of the probe's words agree
+                less[open_] = True
             lo[live[less]] = mid[less] + 1
             hi[live[~less]] = mid[~less]
         return lo
