@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .learn import FIT_ROWS, held_out, labelled
+from .learn import held_out, labelled
 from .storage import table
 from .textbytes import Words, alnum_table, buffers, list_array, mix, slices, span_hash
 
 SLOTS = 1 << 18
 
+#: Labelled rows that the classifier is fitted on, at most: their slots meet on the driver.
+FIT_ROWS = 8_000
+
 #: Beginnings of words that are features, in bytes.
 STEMS = (4, 5, 6, 8)
 
@@ -74,11 +77,12 @@ def fit(slots: np.ndarray, count: np.ndarray, label: np.ndarray, terms: tuple[st
         p = (label.sum() + 1) / (n + 2)
         return Toxicity(weight.astype(np.float32), float(np.log(p / (1 - p))))
     used = np.bincount(slots, minlength=SLOTS) >= least
-    row = np.repeat(np.arange(n), count)[used[slots]]
-    slots = slots[used[slots]]
-    by_slot = np.argsort(slots, kind="stable")
-    slot_row = row[by_slot]
-    names, slot_head = np.unique(slots[by_slot], return_index=True)
+    row = np.repeat(np.arange(n, dtype=np.int32), count)[used[slots]]
+    slots = slots[used[slots]].astype(np.int32)
+    slot_row = row[np.argsort(slots, kind="stable")]
+    members = np.bincount(slots, minlength=SLOTS)
+    names = np.flatnonzero(members)
+    slot_head = (np.cumsum(members) - members)[names]
     row_size = np.bincount(row, minlength=n)
     full = np.flatnonzero(row_size)
     row_head = (np.cumsum(row_size) - row_size)[full]
@@ -141,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, limit
     scores one half."""
     t = labelled(docs, labels, "toxic", mod, rest, limit).select("label", slotter()("text").alias("slots")).toArrow()
     col = t.column("slots").combine_chunks()
-    return fit(col.flatten().to_numpy().astype(np.int64), np.diff(col.offsets.to_numpy()), t.column("label").to_numpy())
+    return fit(col.flatten().to_numpy(), np.diff(col.offsets.to_numpy()), t.column("label").to_numpy())
 
 
 def scorer(spark: SparkSession, model: Toxicity):
