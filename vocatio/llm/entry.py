@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, decontaminate, neardup, passages, pii, quality, sharding, toxicity
+from . import ann, bpe, chat, decontaminate, neardup, passages, pii, quality, sharding, sql, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_array_decontamination": decontaminate.ORACLE_OP1}
+    return {
+        "op1_suffix_array_decontamination": decontaminate.ORACLE_OP1,
+        "op3_minhash_star_components": sql.OP3,
+        "op7_prefix_sum_sharding": sql.OP7,
+    }
