@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vocatio.operators import cascade, fuzzy, resolvers
+from vocatio.settings import DEFAULT
 
 POSTINGS = [
     (1, 1, "Dev", "Here", "Senior"), (1, 2, " dev ", "HERE", "Not Applicable"), (1, 3, None, "Here", "Senior"), (1, 4, "Dev", " ", "Senior"), (2, 5, "Cook", "There", "Junior"),
@@ -55,6 +56,15 @@ def test_run_resolves_what_is_left(mart):
     assert locations.count() == 2
 
 
+def test_resolved_by_method(spark):
+    rows = spark.createDataFrame([("title", "llm"), ("title", "llm"), ("seniority", "fuzzy")], "domain string, method string")
+    assert {(r.domain, r.method): r.n for r in cascade.resolved_by_method(rows).collect()} == {("title", "llm"): 2, ("seniority", "fuzzy"): 1}
+
+
+def test_sleep_grows_with_retries():
+    assert DEFAULT.next_sleep(0, 0.5) == 210 and DEFAULT.next_sleep(1, 0.0) == 420
+
+
 def test_candidates(spark, mart):
     runs = spark.createDataFrame([(1,)], "scrape_run_id long")
     staged = spark.createDataFrame([(1, 2)], "scrape_run_id long, job_posting_raw_id long")

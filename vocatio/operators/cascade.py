@@ -92,6 +92,11 @@ def summary(keys: DataFrame, missing: DataFrame, ready: DataFrame) -> DataFrame:
     return total.crossJoin(open_).crossJoin(done).select("total", "ready", "unresolved_title", "unresolved_location", "unresolved_seniority", by_map.cast("long").alias("resolved_by_map"))
 
 
+def resolved_by_method(rows: DataFrame) -> DataFrame:
+    """domain, method, n: how many keys (domain, method) each way resolved."""
+    return rows.groupBy("domain", "method").agg(F.count("*").alias("n"))
+
+
 def map_upsert(mapping: DataFrame, rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The map with the rows in: the last write of a key holds."""
     return upsert(mapping, rows, keys or ["key_normalized"])

@@ -25,7 +25,7 @@ class Mart:
     computed again from its lineage.
     """
 
-    KEPT = ("postings", "stg", "titles_dim", "companies_dim", "locations_dim", "titles_old", "companies_old", "locations_old", "titles_next", "companies_next", "locations_next", "facts")
+    KEPT = ("postings", "unresolved", "stg", "titles_dim", "companies_dim", "locations_dim", "titles_old", "companies_old", "locations_old", "titles_next", "companies_next", "locations_next", "facts")
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -260,6 +260,14 @@ def _fuzzy(m: Mart, by_value: bool) -> DataFrame:
     return fuzzy.best_match(keys, cands, 0.90 if by_value else fuzzy.KEY_THRESHOLD)
 
 
+def _resolved(m: Mart) -> DataFrame:
+    """Keys that maps, fuzzy matching and the rules resolve, counted."""
+    near = cascade.fuzzy_rows(m.unresolved, m.titles, m.locations, m.seniorities).select("domain", "use_title_key", "key")
+    same = m.unresolved["domain"].eqNullSafe(near["domain"]) & m.unresolved["use_title_key"].eqNullSafe(near["use_title_key"]) & (m.unresolved["key"] == near["key"])
+    rest = resolvers.by_rules(m.unresolved.join(near, same, "left_anti"))
+    return cascade.resolved_by_method(near.select("domain", F.lit("fuzzy").alias("method")).unionByName(rest.select("domain", F.lit("llm").alias("method"))))
+
+
 def _fuzzy_seniority(m: Mart) -> DataFrame:
     own = m.seniorities.select("use_title_key", F.col("source_key").alias("key_normalized"), "value_normalized")
     keys = own.select("use_title_key", F.concat("key_normalized", F.lit("s")).alias("key"))
@@ -309,6 +317,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "unresolved_keys_strict": lambda m: cascade.unresolved(m.keys, m.titles, m.locations, m.seniorities, strict=True).where("domain = 'seniority'").select("use_title_key", "key"),
         "readiness": lambda m: m.ready,
         "normalization_summary": lambda m: cascade.summary(m.keys, m.unresolved, m.ready),
+        "resolved_by_method": _resolved,
         "candidates": lambda m: cascade.candidates(m.postings, m.ok_runs, m.ready).select("scrape_run_id", "job_posting_raw_id"),
         "seniority_from_raw": _seniority_from_raw,
         "seniority_from_title": _seniority_from_title,
