@@ -92,6 +92,12 @@ def summary(keys: DataFrame, missing: DataFrame, ready: DataFrame) -> DataFrame:
     return total.crossJoin(open_).crossJoin(done).select("total", "ready", "unresolved_title", "unresolved_location", "unresolved_seniority", by_map.cast("long").alias("resolved_by_map"))
 
 
+def left_over(missing: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Keys that aren't resolved yet."""
+    done = resolved.select(F.col("domain").alias("d"), F.col("use_title_key").alias("u"), F.col("key").alias("k"))
+    return missing.join(done, (F.col("domain") == F.col("d")) & F.col("use_title_key").eqNullSafe(F.col("u")) & (F.col("key") == F.col("k")), "left_anti")
+
+
 def resolved_by_method(rows: DataFrame) -> DataFrame:
     """domain, method, n: how many keys (domain, method) each way resolved."""
     return rows.groupBy("domain", "method").agg(F.count("*").alias("n"))
@@ -108,8 +114,7 @@ def run(postings: DataFrame, titles: DataFrame, locations: DataFrame, senioritie
     keys = posting_keys(postings)
     missing = unresolved(keys, titles, locations, seniorities)
     near = fuzzy_rows(missing, titles, locations, seniorities).select("domain", "use_title_key", "key", "value").withColumn("method", F.lit("fuzzy"))
-    same = missing["domain"].eqNullSafe(near["domain"]) & missing["use_title_key"].eqNullSafe(near["use_title_key"]) & (missing["key"] == near["key"])
-    answered = resolver(missing.join(near, same, "left_anti")).select("domain", "use_title_key", "key", "value").withColumn("method", F.lit("llm"))
+    answered = resolver(left_over(missing, near)).select("domain", "use_title_key", "key", "value").withColumn("method", F.lit("llm"))
     new = near.unionByName(answered)
     simple = lambda d: new.where(F.col("domain") == d).select(F.col("key").alias("key_normalized"), F.col("value").alias("value_normalized"), "method")
     third = new.where("domain = 'seniority'").select("use_title_key", F.col("key").alias("source_key"), F.col("value").alias("value_normalized"), "method")

@@ -53,9 +53,9 @@ def best_match(keys: DataFrame, candidates: DataFrame, threshold: float, by: lis
     c = c.withColumn("band", F.floor(F.col("lb") / BAND))
     fits = (2 * F.least("la", "lb")) >= (F.lit(threshold) - 1e-9) * (F.col("la") + F.col("lb"))
     pairs = k.join(c, [*by, "band"]).where(fits).withColumn("score", ratio_at_least("ka", "cb", F.lit(threshold))).where("score is not null")
-    # the least string among the best: order by score, then by the string backwards, through max and min
-    top = pairs.groupBy(*by, "key").agg(F.max("score").alias("score"))
-    return pairs.join(top, [*by, "key", "score"]).groupBy(*by, "key", "score").agg(F.min("candidate").alias("candidate")).select(*by, "key", "candidate", "score")
+    # the best score, then the least string, in one aggregate
+    best = pairs.groupBy(*by, "key").agg(F.min(F.struct((-F.col("score")).alias("minus"), "candidate")).alias("b"))
+    return best.select(*by, "key", "b.candidate", (-F.col("b.minus")).alias("score"))
 
 
 def resolve(keys: DataFrame, mapping: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ class Mart:
     computed again from its lineage.
     """
 
-    KEPT = ("postings", "unresolved", "stg", "titles_dim", "companies_dim", "locations_dim", "titles_old", "companies_old", "locations_old", "titles_next", "companies_next", "locations_next", "facts")
+    KEPT = ("postings", "unresolved", "near", "stg", "titles_dim", "companies_dim", "locations_dim", "titles_old", "companies_old", "locations_old", "titles_next", "companies_next", "locations_next", "facts")
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -118,6 +118,9 @@ class Mart:
     def _unresolved(self):
         return cascade.unresolved(self.keys, self.titles, self.locations, self.seniorities)
 
+    def _near(self):
+        return cascade.fuzzy_rows(self.unresolved, self.titles, self.locations, self.seniorities)
+
     def _ok_runs(self):
         return self.runs.where("status = 'successful'")
 
@@ -262,9 +265,8 @@ def _fuzzy(m: Mart, by_value: bool) -> DataFrame:
 
 def _resolved(m: Mart) -> DataFrame:
     """Keys that maps, fuzzy matching and the rules resolve, counted."""
-    near = cascade.fuzzy_rows(m.unresolved, m.titles, m.locations, m.seniorities).select("domain", "use_title_key", "key")
-    same = m.unresolved["domain"].eqNullSafe(near["domain"]) & m.unresolved["use_title_key"].eqNullSafe(near["use_title_key"]) & (m.unresolved["key"] == near["key"])
-    rest = resolvers.by_rules(m.unresolved.join(near, same, "left_anti"))
+    near = m.near
+    rest = resolvers.by_rules(cascade.left_over(m.unresolved, near))
     return cascade.resolved_by_method(near.select("domain", F.lit("fuzzy").alias("method")).unionByName(rest.select("domain", F.lit("llm").alias("method"))))
 
 
