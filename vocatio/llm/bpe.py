@@ -37,7 +37,7 @@ CUT_BITS = 9
 WINDOW = 32
 
 #: Chunks and pieces kept by a task; when full, the store starts anew.
-CHUNKS_KEPT, PIECES_KEPT = 40_000, 300_000
+CHUNKS_KEPT, PIECES_KEPT = 12_000, 300_000
 
 #: Characters that decide a piece beyond its end, at most.
 _BEYOND = 2
@@ -76,7 +76,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= PIECES_KEPT:
             self.clear()
-        out = self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.int32).tobytes()
+        out = self[piece] = array("i", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         return out
 
 
