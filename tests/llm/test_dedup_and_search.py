@@ -187,6 +187,22 @@ def test_planted_passages_are_found_and_clean_texts_left(spark):
             assert r.same >= 84
 
 
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("lines", [2, 3])
+def test_passages_of_lines_that_earlier_documents_hold_apart(spark, seed, lines):
+    """The documents that share whole passages meet, whatever holds their lines; some may be hubs by chance."""
+    rnd = random.Random(70 + seed)
+    docs, want = [], set()
+    for g in range(8):
+        parts = [prose(rnd, 60 // lines) for _ in range(lines)]
+        docs += [(100 * g + i, prose(rnd, 40) + " " + p + " " + prose(rnd, 40)) for i, p in enumerate(parts)]
+        docs += [(100 * g + i, prose(rnd, 40) + " " + " ".join(parts) + " " + prose(rnd, 40)) for i in (50, 60)]
+        want.add((100 * g + 60, 100 * g + 50))
+    rows = passages.shared_passages(spark.createDataFrame(docs, DOC)).collect()
+    assert {(r.doc_id, r.other_id) for r in rows} == want
+    assert all(r.same >= 60 for r in rows)
+
+
 def test_chain_takes_collinear_matches():
     a = np.array([10, 16, 22, 28, 16, 22])
     b = np.array([110, 116, 122, 128, 300, 10])
