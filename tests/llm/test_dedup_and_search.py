@@ -203,6 +203,24 @@ def test_passages_of_lines_that_earlier_documents_hold_apart(spark, seed, lines)
     assert all(r.same >= 60 for r in rows)
 
 
+@pytest.mark.parametrize("every", [5, 6, 8, 10])
+def test_passages_with_words_changed_at_even_spaces(spark, every):
+    """Every passage of 45 to 60 words with each 5th to 10th word another one: 80 to 90 % agree."""
+    rnd = random.Random(every)
+    docs, least = [], {}
+    for g in range(16):
+        n = 45 + g
+        w = [f"p{g}x{i}" for i in range(n)]
+        other = [f"q{g}x{i}" if i % every == every - 1 else x for i, x in enumerate(w)]
+        same = sum(a == b for a, b in zip(w, other, strict=True))
+        assert same >= 0.8 * n
+        docs += [(2 * g + i, " ".join([f"{i}l{g}y{j}" for j in range(30)] + t + [f"{i}r{g}y{j}" for j in range(30)])) for i, t in enumerate((w, other))]
+        least[2 * g + 1] = (2 * g, n, same)
+    rows = passages.shared_passages(spark.createDataFrame(docs, DOC)).collect()
+    assert {(r.doc_id, r.other_id) for r in rows} == {(d, o) for d, (o, _, _) in least.items()}
+    assert all(least[r.doc_id][1] >= r.end - r.start >= 45 and r.same <= least[r.doc_id][2] for r in rows)
+
+
 def test_chain_takes_collinear_matches():
     a = np.array([10, 16, 22, 28, 16, 22])
     b = np.array([110, 116, 122, 128, 300, 10])
