@@ -158,6 +158,17 @@ def test_large_group_near_the_threshold(spark, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_groups(docs, 3, 85)
 
 
+@pytest.mark.parametrize(("k", "num", "n"), [(3, 85, 8), (5, 80, 8)])
+def test_small_sets_behind_a_hub_that_is_linked_to_neither(spark, k, num, n):
+    """A text of n words and one of a word more are linked; smaller ids share all their buckets."""
+    short = [f"w{i}" for i in range(n)]
+    long = short + ["end"]
+    docs = [(i, " ".join(long + [f"x{i}", f"y{i}"])) for i in range(200)] + [(500, " ".join(short)), (501, " ".join(long))]
+    got = neardup.near_duplicates(spark.createDataFrame(docs, DOC), k=k, num=num).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_groups(docs, k, num)
+    assert (501, n + 2 - k, 500) in {(r.doc_id, r.n_shingles, r.component_id) for r in got}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r.node: r.component for r in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -304,8 +304,9 @@ def _across(star: DataFrame, comp: DataFrame, ids: DataFrame, texts: DataFrame,
     """Links (u, v) between components of one coarse group, enough to join what links join."""
     coarse = components(star).select(F.col("node").alias("id"), F.col("component").alias("coarse"))
     fine = comp.select(F.col("node").alias("id"), "component")
-    # sets too small to be linked with another one than their like are left out
-    sized = ids.groupBy("id").agg(F.max("n").alias("n")).where(f"{den} * (n - 1) >= {num} * n")
+    # sets too small to be linked with another one than their like are left out: a set of n is at
+    # most n of n + 1 like another
+    sized = ids.groupBy("id").agg(F.max("n").alias("n")).where(f"{den} * n >= {num} * (n + 1)")
     labelled = coarse.join(sized, "id").join(fine, "id", "left").select("coarse", "id", (F.col("n") + ROW_SHINGLES).alias("w"), F.coalesce("component", "id").alias("component"))
     labelled = cut(labelled)
     per = labelled.groupBy("coarse", "component").agg(F.sum("w").alias("w"))
