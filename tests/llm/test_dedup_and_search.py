@@ -292,6 +292,23 @@ def test_neighbours_recall_and_ties(spark):
     assert sorted(got[got.query_id == 20].vec_id)[:20] == list(range(500, 520))
 
 
+def test_neighbours_in_a_group_of_near_copies(spark):
+    """A third of the rows are one vector with a little noise, far more than are ranked first."""
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(3000, 24))
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    x[::3] = x[0] + 0.01 * rnd.normal(size=(1000, 24))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC)
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), 20).toPandas()
+    y = x.astype(float)
+    for q, g in got.groupby("query_id"):
+        s = y @ y[q]
+        s[q] = -np.inf
+        assert list(g.sort_values("rank").vec_id) == list(np.lexsort((np.arange(3000), -s))[:20])
+    assert len(got) == 150 * 20
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0])], VEC)
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 5.0)]

@@ -4,7 +4,8 @@ Each vector is coded by one of 16 centroids in every pair of dimensions. Centroi
 minimise an anisotropic loss, in which the part of the residual that is parallel to the vector
 weighs more than the rest, since it is what changes large inner products. The codebooks are fitted
 on a bounded sample; every vector is coded. A scan adds up table entries, a byte (two codes) at a
-time, for a block of queries; each shard's best candidates are ranked again by exact products.
+time, for a block of queries; exact products rank again every row whose sum is so near that its
+quantisation error could make it one of the best, so the neighbours are exact.
 
 Queries go out in blocks of bounded size, every block meets all vectors, and only the k best of
 each query and task are shuffled.
@@ -28,7 +29,7 @@ FIT_ROWS = 8_192
 #: Queries that go to the executors at once.
 QUERY_BLOCK = 4_096
 
-#: Candidates of a shard ranked again exactly, for each neighbour asked for.
+#: Candidates of a shard whose exact products say how good the others must be, for each neighbour asked for.
 RERANK = 12
 
 #: Rows of a shard: scanned together.
@@ -166,7 +167,16 @@ class Best:
         self.score, self.id = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-def scan_shard(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, lut: np.ndarray, k: int, best: Best) -> None:
+def residuals(vectors: np.ndarray, codes: np.ndarray, books: Codebooks) -> np.ndarray:
+    """The length of what the codes (two to a byte) leave of each vector."""
+    each = np.stack([codes // CENTROIDS, codes % CENTROIDS], axis=2).reshape(len(codes), -1)
+    rest = _parts(vectors)
+    for s in range(each.shape[1]):
+        rest[:, s] -= books.centres[s][each[:, s]]
+    return np.sqrt((rest**2).sum(axis=(1, 2)))
+
+
+def scan_shard(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, lut: np.ndarray, books: Codebooks, k: int, best: Best) -> None:
     """Adds the shard's rows to the best ones of each query."""
     # Of equal vectors only the k + 1 smallest ids can be among the k nearest: one row stands for all
     order = np.lexsort((ids, *vectors.T[::-1]))
@@ -181,16 +191,38 @@ def scan_shard(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_id
     members = np.where(there, ids[np.minimum(alike, len(ids) - 1)], -1)
     distinct, wide = vectors[head].astype(float), codes[head]
     n = min(len(head), RERANK * k)
+    rest = residuals(distinct, wide, books)
+    norm = np.sqrt((distinct**2).sum(axis=1))
+    need = min(k + 1, len(head))  # the query's own row may be one of them
     for a in range(0, len(queries), 256):
         q = slice(a, min(a + 256, len(queries)))
         total = np.zeros((len(head), q.stop - a), np.float32)
         for b in range(wide.shape[1]):
             total += lut[b][:, q][wide[:, b]]
         approx = total.T
-        top = np.argpartition(-approx, n - 1, axis=1)[:, :n] if n < len(head) else np.tile(np.arange(n), (q.stop - a, 1))
-        exact = np.stack([distinct[t] @ v for t, v in zip(top, queries[q], strict=True)])
+        size_q = np.sqrt((queries[q] ** 2).sum(axis=1))
+        # what float sums and products may be off
+        slack = 1e-5 * size_q * (norm.max() + rest.max())
+        first = np.argpartition(-approx, n - 1, axis=1)[:, :n] if n < len(head) else np.tile(np.arange(n), (q.stop - a, 1))
+        known = np.stack([distinct[t] @ v for t, v in zip(first, queries[q], strict=True)])
+        bar = np.maximum(np.partition(known, n - need, axis=1)[:, n - need], best.score[q, -1]) - slack
+        # Cauchy-Schwarz: an exact product differs from its sum by the residual's length times the query's at most
+        near = approx + size_q[:, None] * rest >= bar[:, None]
+        some = np.flatnonzero(near.any(axis=0))
+        top = np.full((q.stop - a, need), -1)
+        exact = np.full(top.shape, -np.inf)
+        if len(some):
+            product = queries[q] @ distinct[some].T
+            keep = min(need, len(some))
+            edge = np.partition(product, len(some) - keep, axis=1)[:, len(some) - keep] - slack
+            for r, v in enumerate(queries[q]):
+                c = some[product[r] >= edge[r]]
+                # each product summed in the same order, so that equal vectors tie in all shards
+                score = (distinct[c] * v).sum(axis=1)
+                order = np.lexsort((members[c, 0], -score))[:need]
+                top[r, : len(order)], exact[r, : len(order)] = c[order], score[order]
         score = np.repeat(exact, copies, axis=1)
-        who = members[top].reshape(len(top), -1)
+        who = np.where((top >= 0)[:, :, None], members[top], -1).reshape(len(top), -1)
         score[(who < 0) | (who == query_ids[q][:, None])] = -np.inf
         keep = min(score.shape[1], 4 * k + copies)
         if keep < score.shape[1]:
@@ -215,7 +247,7 @@ def scanner(spark: SparkSession, books: Codebooks, query_ids: np.ndarray, querie
                 if lut is None:
                     lut = tables(queries, books)
                 codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                scan_shard(part.column("id").to_numpy(), _matrix(part.column("v")), codes, query_ids, queries, lut, k, best)
+                scan_shard(part.column("id").to_numpy(), _matrix(part.column("v")), codes, query_ids, queries, lut, books, k, best)
         some = np.isfinite(best.score)
         if some.any():
             yield pa.RecordBatch.from_pydict({"query_id": np.repeat(query_ids, some.sum(axis=1)), "vec_id": best.id[some], "score": best.score[some]})
