@@ -40,6 +40,15 @@ def test_flagship(spark):
     assert df.count() > 0 and df.columns[0] == "industry"
 
 
+@needs_data
+def test_overlap_has_every_candidate(spark):
+    some, every = (catalogue.queries()[f"candidate_skill_overlap{x}"](spark, SMALL) for x in ("", "_all"))
+    got = {tuple(r) for r in every.select("candidate", "job_posting_raw_id", "matched").collect()}
+    assert {r for r in got if r[0] < 3} == {tuple(r) for r in some.select("candidate", "job_posting_raw_id", "matched").collect()}
+    buyers = {r[0] for r in spark.read.parquet(f"{SMALL}/orders.parquet").select("o_custkey").collect()}
+    assert {c for c, _, _ in got} - {0, 1, 2} and {c for c, _, _ in got} <= buyers
+
+
 def test_every_oracle_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
