@@ -1,12 +1,16 @@
-"""Cutting lineage through the folder that driver and executors share."""
+"""Tables between steps, in the folder that driver and executors share; and helper names."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by this process that results may still read.
+_kept: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only where no cluster names one (tests, local runs),
@@ -21,18 +25,67 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+class Steps:
+    """The tables of one operator's steps. Each is written whole, as Parquet, before the next step
+    begins: what is built on it is neither computed twice nor lost with an executor, and the
+    shuffles that led to it can go. ``drop`` deletes tables that no later step reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+        self.number = 0
+        _kept.append(self.folder)
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.number}.parquet"
+        self.number += 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.__dict__["_written"] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if path := t.__dict__.pop("_written", None):
+                _delete(self.spark, path)
+
+    def release(self) -> None:
+        """Lets go of the shuffles of finished steps: Spark deletes a shuffle's files once the driver
+        has collected the plan that made it, which else may take half an hour."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read from there: what is built on them is
-    neither computed twice nor lost with an executor."""
+    """The same rows, checkpointed in the shared folder: for small tables."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as a Parquet table: for wide rows that are read column by column."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """The same rows, written to the shared folder as Parquet and read from there."""
+    return Steps(df.sparkSession).write(df)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes every table that this process wrote between steps. To be called once the results that
+    were made from them are stored; what no result reads has been deleted before."""
+    while _kept:
+        _delete(spark, _kept.pop())
+
+
+def helper(df: DataFrame, *others: str) -> str:
+    """A column name that the table doesn't have, in any case of letters."""
+    taken = {c.lower() for c in [*df.columns, *others]}
+    n = 0
+    while f"__helper{n}" in taken:
+        n += 1
+    return f"__helper{n}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
