@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocatio.llm import bpe, decontaminate, neardup, pii, quality
-from vocatio.llm.storage import table, written
+from vocatio.llm.storage import helper, table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,27 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates (five-word shingles, 0.8 or more) the smallest doc_id."""
-    rest = neardup.near_duplicates(docs, k=5, num=80, den=100).where(~F.col("kept")).select("doc_id")
-    return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+    """Of every group of near duplicates (five-word shingles, 0.8 or more) one row: that of the
+    smallest doc_id which only one row has, if there is one.
+
+    Rows are grouped by their own text. A row whose doc_id is null or repeated goes by a key made of
+    doc_id and text, so no text is lost with another one of its id; of equal rows one stays. Texts
+    without words are no duplicates, but for rows of one doc_id that are equal.
+    """
+    row, times, made = helper(docs), helper(docs, helper(docs)), "made"
+    often = docs.groupBy("doc_id").agg(F.count("*").alias(times)).where((F.col(times) > 1) | F.col("doc_id").isNull())
+    often = written(often.select(F.col("doc_id").alias(row)))
+    if often.isEmpty():
+        rest = neardup.near_duplicates(docs, k=5, num=80, den=100).where(~F.col("kept")).select("doc_id")
+        return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+    # ids of less than 2 ** 62 come before all keys
+    key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"), 2) + (1 << 62)
+    marked = docs.join(often.withColumn(made, F.lit(True)), F.col("doc_id").eqNullSafe(F.col(row)), "left")
+    keyed = marked.select(*docs.columns, F.when(F.col(made), key).otherwise(F.col("doc_id").cast("long")).alias(times))
+    rest = neardup.near_duplicates(keyed, k=5, num=80, den=100, id_col=times).where(~F.col("kept")).select(times)
+    left = keyed.join(rest, times, "left_anti")
+    once = left.where(F.col(times) < (1 << 62))
+    return once.union(left.where(F.col(times) >= (1 << 62)).dropDuplicates([times])).select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
