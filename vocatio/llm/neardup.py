@@ -403,8 +403,9 @@ def _across(steps: Steps, star: DataFrame, comp: DataFrame, reps: DataFrame, tex
     per = labelled.groupBy("coarse", "component").agg(F.sum("w").alias("w"))
     torn = per.groupBy("coarse").agg(F.count("*").alias("parts"), F.sum("w").alias("all"), F.max(F.struct("w", F.col("component").alias("main"))).alias("top")).where("parts > 1")
     torn = torn.select("coarse", "top.main", F.expr(f"(all - top.w + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES}").alias("lefts"), F.expr(f"(all + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES}").alias("rights"))
+    torn = steps.write(torn)  # read anew, so that a crowded group can be split
     rows = steps.write(labelled.join(torn, "coarse"))
-    steps.drop(labelled, between)
+    steps.drop(labelled, torn, between)
     sets = steps.write(texts.join(rows.select("id").distinct(), "id", "left_semi").select("id", set_builder(k)("text").alias("set")))
     steps.release()
     block = lambda n: F.expr(f"pmod(xxhash64(id), {n})")
