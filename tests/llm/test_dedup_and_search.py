@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vocatio.llm import ann, decontaminate, neardup, passages, sharding
+from vocatio.llm.storage import Steps
 
 DOC = "doc_id long, text string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -139,6 +140,22 @@ def test_groups_equal_brute_force(spark, families, k, num):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_one_id_under_several_texts_is_one_node(spark, monkeypatch):
+    """Links of any of its texts are the node's, in any number of places for a hub."""
+    monkeypatch.setattr(neardup, "HUB_MEMBERS", 2)
+    rnd = random.Random(12)
+    x, y, z = prose(rnd, 30), prose(rnd, 40), prose(rnd, 25)
+    docs = [(1, x), (50, x), (50, y), (60, y), (70, z), (70, z), (50, None), (80, None)] + [(90 + i, z + f" end{i}") for i in range(9)]
+    got = neardup.near_duplicates(spark.createDataFrame(docs, DOC), k=5, num=80).collect()
+    assert len(got) == len(docs)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, n, 1 if i in (1, 50, 60) else c) for i, n, c in brute_groups(docs, 5, 80)}
+
+
+def test_null_ids_link_nothing(spark):
+    got = neardup.near_duplicates(spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f")], DOC)).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got) == [(0, None, True), (3, 3, True), (4, 3, False)]
+
+
 def test_no_documents_no_groups(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
@@ -169,9 +186,11 @@ def test_small_sets_behind_a_hub_that_is_linked_to_neither(spark, k, num, n):
     assert (501, n + 2 - k, 500) in {(r.doc_id, r.n_shingles, r.component_id) for r in got}
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("a_task", [100_000, 20])
+def test_components_of_paths_and_stars(spark, monkeypatch, a_task):
+    monkeypatch.setattr(neardup, "EDGES_A_TASK", a_task)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
-    got = {r.node: r.component for r in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in neardup.components(Steps(spark), spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
 
 
@@ -239,12 +258,105 @@ def test_chain_takes_collinear_matches():
 
 
 def test_chains_score_like_brute_force():
+    """The best score is that of a dynamic program over all pairs of matches."""
     rnd = random.Random(6)
-    for _ in range(30):
-        pts = sorted({(rnd.randrange(60), rnd.randrange(60)) for _ in range(8)})
-        a, b = (np.array(x) for x in zip(*pts, strict=True))
-        best = passages.chains(a, b)[0]
-        assert all(a[i] < a[j] and b[i] < b[j] for i, j in zip(best, best[1:], strict=False))
+    k, cost = passages.K, passages.GAP_COST
+    for n in (1, 8, 8, 30, 30, 120, 120):
+        for _ in range(12):
+            side = rnd.choice((20, 60, 400))
+            pts = sorted({(p := rnd.randrange(side), p + rnd.choice((0, 0, 3, rnd.randrange(side)))) for _ in range(n)})
+            a, b = (np.array(x) for x in zip(*pts, strict=True))
+            best = [float(k)] * len(pts)
+            for j in range(len(pts)):
+                for i in range(j):
+                    da, db = a[j] - a[i], b[j] - b[i]
+                    if min(da, db) >= k:
+                        best[j] = max(best[j], best[i] + k - cost * (da + db - 2 * k))
+                    elif da == db > 0:
+                        best[j] = max(best[j], best[i] + da)
+            got = passages.scored(a, b)
+            assert abs(got[0][0] - max(best)) < 1e-6
+            assert sorted(i for _, c in got for i in c) == list(range(len(pts)))
+            assert all(a[i] < a[j] and b[i] < b[j] for _, c in got for i, j in zip(c, c[1:], strict=False))
+
+
+def exact_runs(a, b, least):
+    """Maximal runs of words that both texts hold: start in a, start in b, words."""
+    out = []
+    for d in range(-len(b) + 1, len(a)):
+        n = 0
+        for i in range(max(d, 0), min(len(a), len(b) + d) + 1):
+            if i < min(len(a), len(b) + d) and a[i] == b[i - d]:
+                n += 1
+                continue
+            if n >= least:
+                out.append((i - n, i - n - d, n))
+            n = 0
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_every_exact_passage_is_reported_or_implied(spark, seed):
+    """Documents of parts that others hold in other pieces: for every pair and every run of words
+    they share, both hold rows there with one first document, or one has a row with the other."""
+    rnd = random.Random(40 + seed)
+    least = passages.LEAST_WORDS + passages.WINDOW - 1
+    pool = [prose(rnd, n).split() for n in (20, 60, 90, 90)]
+    docs = []
+    for i in range(26):
+        t = prose(rnd, rnd.randrange(20)).split()
+        for _ in range(rnd.randrange(1, 4)):
+            p = rnd.choice(pool)
+            lo = rnd.choice((0, 0, rnd.randrange(len(p) // 2)))
+            t += p[lo : lo + rnd.choice((30, 44, 50, 60, 90))] + prose(rnd, rnd.randrange(12)).split()
+        docs.append((i, " ".join(t)))
+    docs += [(26, docs[3][1]), (27, docs[3][1]), (3, docs[3][1])]
+    rows = passages.shared_passages(spark.createDataFrame(docs, DOC)).collect()
+    words, at = {i: words_of(t) for i, t in docs}, {}
+    for r in rows:
+        at.setdefault(r.doc_id, []).append((r.start, r.end, r.other_id))
+    holders = lambda i, lo, hi: {o for s, e, o in at.get(i, []) if min(e, hi) - max(s, lo) >= passages.LEAST_WORDS} | {i}
+    seen = 0
+    for i in words:
+        for j in (x for x in words if x < i):
+            for p, q, n in exact_runs(words[i], words[j], least):
+                seen += 1
+                assert holders(i, p, p + n) & holders(j, q, q + n), (i, j, p, q, n)
+    assert seen > 30
+
+
+def test_a_passage_whose_parts_earlier_documents_hold(spark):
+    rnd = random.Random(2)
+    p = prose(rnd, 60).split()
+    put = lambda i, w: (i, prose(rnd, 30) + " " + " ".join(w) + " " + prose(rnd, 30))
+    docs = spark.createDataFrame([put(1, p[:40]), put(2, p[20:]), put(10, p), put(11, p)], DOC)
+    want = None
+    for n in (1, 3, 4, 64):
+        rows = sorted(tuple(r) for r in passages.shared_passages(docs.repartition(n)).collect())
+        assert [(r[0], r[3]) for r in rows] == [(11, 10)] and rows[0][2] - rows[0][1] >= 60
+        want = want or rows
+        assert rows == want
+
+
+def test_common_seeds_that_stay_where_they_are_change_nothing(spark, monkeypatch):
+    rnd = random.Random(21)
+    line, p = prose(rnd, 12), prose(rnd, 70)
+    docs = [(i, " ".join([prose(rnd, 30), line, p if i % 3 == 0 else prose(rnd, 30), line])) for i in range(60)]
+    df = spark.createDataFrame(docs, DOC)
+    plain = sorted(map(tuple, passages.shared_passages(df).collect()))
+    monkeypatch.setattr(passages, "HOT_SAMPLE", 2)
+    assert sorted(map(tuple, passages.shared_passages(df).collect())) == plain
+    assert {(r[0], r[3]) for r in plain} == {(i, 0) for i in range(3, 60, 3)}
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 7])
+def test_passages_of_an_id_with_several_texts(spark, n):
+    """Each text counts, whatever partition it stands in; none is compared with its own document's."""
+    rnd = random.Random(9)
+    x, y, z = (prose(rnd, 70) for _ in range(3))
+    docs = [(1, x), (50, x), (50, y), (50, y), (60, y), (70, z), (70, z + " end"), (None, x), (80, "a b")]
+    rows = passages.shared_passages(spark.createDataFrame(docs, DOC).repartition(n)).collect()
+    assert {(r.doc_id, r.other_id) for r in rows} == {(50, 1), (50, 60)}
 
 
 def test_minimizers_cover_every_window():

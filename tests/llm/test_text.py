@@ -20,42 +20,111 @@ def encoder():
     return bpe.Encoder(bpe.default_path())
 
 
-def encoded(e, text):
-    return np.frombuffer(e.encode(np.frombuffer(text.encode(), np.uint8)), np.int32).tolist()
+def ids_with(e, text, shared=bpe.NOTHING):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    out = bpe.coded(e, raw, np.array([0, len(raw)]), shared).to_pylist()[0]
+    assert out["decoded"] == text
+    return out["ids"]
+
+
+def all_chunks(e, texts):
+    """The dictionary of all chunks of the texts."""
+    cores = {}
+    for t in texts:
+        raw = t.encode()
+        c = bpe.chunks_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        for s, end, h, head, tail in zip(c.start, c.end, c.hash, c.head, c.tail, strict=True):
+            ids = e.core(raw[s:end], head - s, tail - s)
+            if ids is not None:
+                cores[int(h)] = ids
+    names = sorted(cores)
+    return bpe.Shared(np.array(names, np.int64), np.append(0, np.cumsum([len(cores[h]) for h in names])), np.concatenate([cores[h] for h in names] or [np.zeros(0, np.int32)]).astype(np.int32))
 
 
 @pytest.mark.parametrize("bits", [1, 3, 6, 9])
 def test_encoding_equals_the_tokenizer(encoder, monkeypatch, bits):
+    """From a dictionary of all the texts' own chunks, however short, every join is repaired exactly."""
     monkeypatch.setattr(bpe, "CUT_BITS", bits)
-    encoder.chunks.clear()
+    monkeypatch.setattr(bpe, "LEAST_BYTES", 3)
     rnd = random.Random(bits)
-    bits_of_text = ["a", "é", "'", " ", "  ", "\n", "\t", "'s", "'re", "'ll", "1", "٣", "<|endoftext|>", "中", "!", "the", " of", "ab ", "x" * 40, "😀", "_", "՘", " ", "₝", "\U0001fae9"]
-    for _ in range(800):
-        t = "".join(rnd.choice(bits_of_text) for _ in range(rnd.randrange(70)))
+    bits_of_text = ["a", "é", "'", " ", "  ", "\n", "\t", "'s", "'re", "'ll", "1", "٣", "<|endoftext|>", "中", "!", "the", " of", "ab ", "x" * 40, "😀", "_", "՘", " ", "₝", "\U0001fae9", "\x1c", "\x85"]
+    texts = ["".join(rnd.choice(bits_of_text) for _ in range(rnd.randrange(70))) for _ in range(400)]
+    texts += [" ".join(rnd.choice(["the", "it's", "of", "Ab", "été", "x1", "<|endoftext|>", "we'll", "a", "?"]) for _ in range(rnd.randrange(200))) for _ in range(200)]
+    shared = all_chunks(encoder, texts)
+    assert len(shared.hash) > 20 or bits > 6
+    for t in texts:
         want = encoder.tokenizer.encode(t, add_special_tokens=False).ids
-        assert encoded(encoder, t) == want
-        assert encoder.decode(np.array(want, np.int32)).decode() == encoder.tokenizer.decode(want, skip_special_tokens=False)
-
-
-def test_shared_chunks_are_encoded_once(encoder):
-    encoder.chunks.clear()
-    made = encoder.made
-    text = " ".join(f"word{i}" for i in range(3000))
-    encoded(encoder, text)
-    once = encoder.made - made
-    for i in range(5):
-        encoded(encoder, f"another start {i} " + text)
-    assert encoder.made - made < 1.5 * once and encoder.reused >= 4 * once
+        assert ids_with(encoder, t) == want
+        assert ids_with(encoder, t, shared) == want
+        assert encoder.decode(np.array(want, np.int32)).tobytes().decode() == encoder.tokenizer.decode(want, skip_special_tokens=False)
+
+
+def test_every_token_encodes_to_itself(encoder):
+    """So ranks and merges give the same tokens: what merges into a token does so by its own merges."""
+    n = 0
+    for i, (at, k) in enumerate(zip(encoder.byte_start, encoder.byte_count, strict=True)):
+        raw = encoder.bytes[at : at + k].tobytes()
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            continue
+        n += 1
+        assert encoder.slow(text).tolist() == [i]
+    assert n > 49_000
+
+
+def test_two_chunks_of_one_hash_do_no_harm(encoder):
+    text = " ".join(f"word{i % 37}" for i in range(400))
+    shared = all_chunks(encoder, [text])
+    wrong = bpe.Shared(shared.hash, shared.first, shared.ids[::-1].copy())
+    assert len(shared.hash) and ids_with(encoder, text, wrong) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_shared_chunks_are_encoded_once(spark, encoder):
+    """Over the whole table, in any number of partitions; and the texts take their ids from there."""
+    rnd = random.Random(3)
+    own = lambda n: " ".join("w" + str(rnd.randrange(10**6)) for _ in range(n))
+    text = own(3000)
+    docs = spark.createDataFrame([(i, f"{own(5 + i)} {text} {own(9)}") for i in range(12)] + [(50, own(2000)), (51, None)], DOC).repartition(5)
+    once = bpe.encoded_chunks(docs, bpe.default_path()).collect()
+    raw = text.encode()
+    chunks = bpe.chunks_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    names = [r.hash for r in once]
+    assert len(names) == len(set(names)) and set(chunks.hash[1:-1].tolist()) <= set(names) <= set(chunks.hash.tolist())
+    shared = bpe.dictionary(docs, bpe.default_path())
+    asked = []
+
+    class Counting(bpe.Encoder):
+        def plain(self, raw):
+            asked.append(len(raw))
+            return super().plain(raw)
+
+    e = Counting(bpe.default_path())
+    rows = [r.text for r in docs.collect() if r.doc_id < 50]
+    for t in rows:
+        assert ids_with(e, t, shared) == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert sum(asked) < 0.35 * sum(len(t) for t in rows)
+    assert {r.doc_id: r.tokens.ids for r in bpe.tokenize(docs, bpe.default_path()).where("doc_id < 50").collect()} == {r.doc_id: encoder.tokenizer.encode(r.text, add_special_tokens=False).ids for r in docs.where("doc_id < 50").collect()}
+
+
+def test_a_dictionary_of_bounded_size_changes_nothing(spark, encoder, monkeypatch):
+    monkeypatch.setattr(bpe, "DICTIONARY", 2)
+    text = " ".join(f"word{i}" for i in range(2000))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "x " + text)], DOC)
+    assert len(bpe.dictionary(docs, bpe.default_path()).hash) == 2
+    for r in bpe.tokenize(docs, bpe.default_path()).collect():
+        assert r.tokens.ids == encoder.tokenizer.encode(r.text, add_special_tokens=False).ids
 
 
 def test_long_text_without_a_break(encoder):
     t = "a" * 100_000
-    assert encoded(encoder, t) == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert ids_with(encoder, t) == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_tokenize_keeps_rows_and_columns(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "hello"), (3, "hello")], DOC).withColumn("tokens", F.lit(5))
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "hello"), (3, "hello")], DOC).withColumns({"tokens": F.lit(5), "__helper0": F.lit("own"), "__coded": F.lit("own")})
     rows = bpe.tokenize(docs, bpe.default_path()).collect()
+    assert all(r["__helper0"] == r["__coded"] == "own" for r in rows)
     assert [(r.doc_id, r.tokens.ids, r.tokens.decoded) for r in rows] == [(1, [], ""), (2, [], ""), (3, [31373], "hello"), (3, [31373], "hello")]
     assert bpe.tokenize(docs.limit(0), bpe.default_path()).count() == 0
 

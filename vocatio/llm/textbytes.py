@@ -150,6 +150,16 @@ def gram_hash(words: np.ndarray, k: int) -> np.ndarray:
         return mix(h)
 
 
+def span_gram_hash(words: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    """A hash of k consecutive word hashes from each of the given places on, at a cost that doesn't
+    grow with k: by prefix sums, like ``span_hash``."""
+    _grown(len(words) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * _powers[: len(words)], out=total[1:])
+        return mix((total[start + k] - total[start]) * _inverse[start])
+
+
 def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
     """A list column from its flat values and the length of each row."""
     offsets = np.zeros(len(counts) + 1, np.int32)
