@@ -57,6 +57,27 @@ def test_stages_equal_a_plain_version(spark, tmp_path):
         assert r.token_ids == e.tokenizer.encode(t or "", add_special_tokens=False).ids and r.n_tokens == len(r.token_ids)
 
 
+def test_near_duplicate_stage_decides_by_row(spark):
+    """No text is lost with another one of its id; of equal rows one stays."""
+    x, y, z = (f"{c}1 {c}2 {c}3 {c}4 {c}5 {c}6 {c}7" for c in "xyz")
+    docs = spark.createDataFrame([(1, x), (50, x), (50, y), (60, y), (70, z), (70, z), (50, None), (50, None), (None, x), (None, "only here by far"), (None, None)], "doc_id long, text string").withColumns({"__helper0": F.lit(3), "kept": F.lit("own")})
+    out = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, x), (60, y), (70, z), (50, None), (None, "only here by far"), (None, None)], key=str)
+    assert all(r["__helper0"] == 3 and r.kept == "own" for r in out.collect())
+
+
+def test_stages_on_long_and_repeated_texts(spark, tmp_path):
+    long = " ".join(f"word{i % 997}x{i}" for i in range(60_000))
+    rows = [(1, long, "en", "s", 5), (1, long, "en", "s", 5), (2, long + " end", "en", "s", 5), (3, "", None, None, None)]
+    folder = make(spark, tmp_path, rows, [(1, "no such words")], [])
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({"__quality": F.lit(1), "__tokens": F.lit(2)})
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+    got = docs.collect()
+    assert sorted(r.doc_id for r in got) == [1, 3] and all(r.round_trip and r["__quality"] == 1 and r["__tokens"] == 2 for r in got)
+
+
 def test_stages_name_their_columns(spark, tmp_path):
     folder = make(spark, tmp_path, [(1, "a b c", "en", "s", 5)], [], [])
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("personal", F.lit(1))

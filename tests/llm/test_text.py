@@ -312,6 +312,57 @@ def test_toxicity_on_held_out_rows_and_neutral_mentions(spark, comments):
     assert shift(swapped) < 0.25 * shift(plain)
 
 
+
+def test_the_penalty_spares_neutral_mentions(comments):
+    """At equal recall on held-out toxic rows, neutral mentions of a group are no longer called toxic."""
+    rows, labels = comments
+    y = np.array([x[2] for x in labels])
+    slots, count = slots_of([t for _, t in rows[:900]])
+    plain, swapped = (toxicity.fit(slots, count, y[:900], penalty=p) for p in (0.0, 1.0))
+
+    def scores(m, texts):
+        s, n = slots_of(texts)
+        return 1 / (1 + np.exp(-np.bincount(np.repeat(np.arange(len(n)), n), m.weight[s].astype(float), minlength=len(n)) - m.bias))
+
+    held = [t for _, t in rows[900:]]
+    toxic = [t for t, bad in zip(held, y[900:], strict=True) if bad]
+    neutral = [t.replace(" muslim", "") + " muslim" for t, bad in zip(held, y[900:], strict=True) if not bad]
+    recall = [(scores(m, toxic) >= 0.3).mean() for m in (plain, swapped)]
+    called = [(scores(m, neutral) >= 0.3).mean() for m in (plain, swapped)]
+    assert abs(recall[0] - recall[1]) <= 0.02 and recall[1] > 0.95
+    assert called[1] < 0.5 * called[0] or called[0] == 0 == called[1]
+    bare = [t.replace(" muslim", "") for t in neutral]
+    moved = [(scores(m, neutral) - scores(m, bare)).mean() for m in (plain, swapped)]
+    assert abs(moved[1]) < 0.25 * moved[0]
+
+
+def test_the_gradient_is_that_of_the_objective(comments):
+    rows, labels = comments
+    slots, count = slots_of([t for _, t in rows[:150]])
+    problem = toxicity.Problem(slots, count, np.array([x[2] for x in labels[:150]]), ("muslim", "gay", "alte"), 0.7, 3, 0.1)
+    assert len(problem.terms) > 3 and len(problem.share) > 6
+    rng = np.random.default_rng(1)
+    weight = np.where(problem.used, rng.normal(size=toxicity.SLOTS) * 0.2, 0)
+    g, g_bias = problem.gradient(weight, 0.1)
+    touched = np.unique(np.concatenate([problem.kind_slot, np.flatnonzero(g)[:40]]))
+    for s in touched[:80]:
+        up, down = weight.copy(), weight.copy()
+        up[s] += 1e-5
+        down[s] -= 1e-5
+        assert abs((problem.value(up, 0.1) - problem.value(down, 0.1)) / 2e-5 - g[s]) < 1e-4
+    assert abs((problem.value(weight, 0.1 + 1e-5) - problem.value(weight, 0.1 - 1e-5)) / 2e-5 - g_bias) < 1e-4
+
+
+def test_every_held_term_is_swapped():
+    texts = ["women and alte here", "femmes there", "nothing"]
+    slots, count = slots_of(texts)
+    problem = toxicity.Problem(slots, count, np.array([0, 1, 0]), ("women", "alte", "femmes", "gay"), 1.0, 1, 2.0)
+    # the first text loses either of its terms, the last one gains a term; slots of all terms may have weights
+    lost = {tuple(sorted(problem.kind_slot[(problem.kind_row == k) & (problem.kind_sign < 0)])) for k in range(len(problem.share))}
+    assert lost == {()} | {tuple(s) for s in toxicity._slots_of(("women", "alte", "femmes"))}
+    assert all(problem.used[s].all() for s in problem.terms) and abs(problem.share.sum() - 3) < 1e-9 and not (problem.kind_slot == -1).any()
+
+
 def test_classifiers_on_edges(spark, comments):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, "x " * 200_000)], DOC).withColumn("quality_score", F.lit("mine"))
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")

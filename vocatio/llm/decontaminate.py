@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import table
+from .storage import helper, table
 from .textbytes import Words, alnum_table, buffers, list_array, slices
 
 #: Benchmark text that goes to the executors at once. A larger benchmark takes one pass a block.
@@ -238,12 +238,12 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
     held, size = [], 0
     some = False
     for item, text in benchmark.select(F.col(id_col).cast("string"), text_col).where(F.col(text_col).isNotNull()).distinct().toLocalIterator():
-        if held and size + len(text) > BLOCK_BYTES:
+        if held and size + len(text.encode()) > BLOCK_BYTES:
             yield held
             held, size = [], 0
             some = True
         held.append((item, text))
-        size += len(text)
+        size += len(text.encode())
     if held or not some:
         yield held
 
@@ -260,9 +260,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """
     passes = []
     out = docs
-    for k, items in enumerate(blocks(benchmark, item_col, item_text)):
-        out = out.withColumn(f"__pass{k}", scanner(docs.sparkSession, items, window)(F.col(text_col)))
-        passes.append(F.col(f"__pass{k}"))
+    for items in blocks(benchmark, item_col, item_text):
+        name = helper(out, result)
+        out = out.withColumn(name, scanner(docs.sparkSession, items, window)(F.col(text_col)))
+        passes.append(F.col(name))
     if len(passes) == 1:
         n_hit, longest, hits = passes[0]["n_hit"], passes[0]["longest"], passes[0]["hits"]
     else:
@@ -290,7 +291,8 @@ def _joined(hits: list[Column]) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without a word inside an occurrence of a benchmark window."""
-    return find_contamination(docs, benchmark, window, result="__hit").where("not __hit.contaminated").drop("__hit")
+    hit = helper(docs)
+    return find_contamination(docs, benchmark, window, result=hit).where(~F.col(hit)["contaminated"]).drop(hit)
 
 
 def op1_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import table
+from .storage import helper, table
 
 #: Kinds in the order of their listing.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -485,21 +485,22 @@ def find_personal_data(docs: DataFrame, field: Field | None = None, text_col: st
     """The documents with the column ``result``: all spans (kind, start, end, base) by kind as
     listed in KINDS, then start.
 
-    Spans are in code points of the whole text, end exclusive. Null and empty texts have none.
-    A column of the name of ``result`` is replaced; all other columns and rows stay.
+    Spans are in code points of the whole text, of any length, end exclusive. Null and empty texts
+    have none. Repeated rows have a row each, with equal spans; an empty table gives an empty result.
+    A column of the name of ``result`` is replaced; all other columns, whatever their names, stay.
     """
-    found = finder(docs.sparkSession, field or default_field())
-    return docs.withColumn("__found", found(F.col(text_col))).select(*[c for c in docs.columns if c != result], F.col("__found").alias(result))
+    found, made = finder(docs.sparkSession, field or default_field()), helper(docs, result)
+    return docs.withColumn(made, found(F.col(text_col))).select(*[c for c in docs.columns if c != result], F.col(made).alias(result))
 
 
 def mask(text: Column, spans: Column) -> Column:
-    """The text with ``[KIND]`` in place of each span; where spans overlap, the first one's."""
+    """The text with ``[KIND]`` in place of each span; spans that overlap are one, of the first one's kind."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
         kept = F.struct(F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("parts"), s["end"].alias("at"))
-        return F.when(s["start"] >= acc["at"], kept).otherwise(acc)
+        return F.when(s["start"] >= acc["at"], kept).otherwise(F.struct(acc["parts"].alias("parts"), F.greatest(acc["at"], s["end"]).alias("at")))
 
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, acc["at"] + 1))))
 

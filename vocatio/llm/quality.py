@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .learn import FIT_ROWS, held_out, labelled
-from .storage import table
+from .storage import helper, table
 from .textbytes import Words, buffers, list_array, slices, spaced_table
 
 #: Kinds of bytes whose share of the text is a statistic.
@@ -188,10 +188,12 @@ def scorer(spark: SparkSession, model: Trees):
 def score_quality(docs: DataFrame, model: Trees, text_col: str = "text", result: str = "quality_score") -> DataFrame:
     """The documents with the column ``result``: the score, 0 to 1, higher for good ones.
 
-    A null text counts as empty; texts without words score by zero statistics. All rows stay; a
-    column of the name of ``result`` is replaced.
+    A null text counts as empty; texts without words score by zero statistics. Texts of any length are
+    scored whole. All rows stay, repeated ones too, and equal texts score alike; an empty table gives
+    an empty result. A column of the name of ``result`` is replaced, no other one is touched.
     """
-    return docs.withColumn("__score", scorer(docs.sparkSession, model)(F.col(text_col))).select(*[c for c in docs.columns if c != result], F.col("__score").alias(result))
+    made = helper(docs, result)
+    return docs.withColumn(made, scorer(docs.sparkSession, model)(F.col(text_col))).select(*[c for c in docs.columns if c != result], F.col(made).alias(result))
 
 
 def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
