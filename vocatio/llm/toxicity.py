@@ -95,8 +95,8 @@ class Problem:
     plus penalty / 2 times the sum, over rows and both kinds of terms, of the mean squared change of
     the row's score under its swaps of that kind.
 
-    A row's swaps: each term it holds, identity term or neutral one, is left out, and replaced by one
-    of the same kind that it doesn't hold; a row without identity terms has SET_IN of them set in.
+    A row's swaps: each term it holds, identity term or neutral one, is left out, and replaced by the
+    next one of its kind that it doesn't hold; a row without identity terms has SET_IN of them set in.
     """
 
     def __init__(self, slots: np.ndarray, count: np.ndarray, label: np.ndarray, terms: tuple[str, ...], penalty: float, least: int, neutral_share: float):
@@ -140,8 +140,8 @@ class Problem:
                 held = np.flatnonzero(holds[i, lo:hi]) + lo
                 free = np.flatnonzero(~holds[i, lo:hi]) + lo
                 pairs = [(int(t), -1) for t in held]
-                if len(free):
-                    pairs += [(int(t), int(free[rng.integers(len(free))])) for t in held]
+                if len(free):  # the next term that the row doesn't hold, so kinds are few
+                    pairs += [(int(t), int(x)) for t, x in zip(held, free[np.searchsorted(free, held) % len(free)], strict=True)]
                 if not lo and groups and not len(held):
                     pairs = [(-1, int(t)) for t in rng.integers(groups, size=SET_IN)]
                 for p in pairs:
