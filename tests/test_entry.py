@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from vocatio.plans import catalogue
+from vocatio.plans import catalogue, oracle
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,11 +42,13 @@ def test_flagship(spark):
 
 @needs_data
 def test_overlap_has_every_candidate(spark):
-    some, every = (catalogue.queries()[f"candidate_skill_overlap{x}"](spark, SMALL) for x in ("", "_all"))
-    got = {tuple(r) for r in every.select("candidate", "job_posting_raw_id", "matched").collect()}
-    assert {r for r in got if r[0] < 3} == {tuple(r) for r in some.select("candidate", "job_posting_raw_id", "matched").collect()}
-    buyers = {r[0] for r in spark.read.parquet(f"{SMALL}/orders.parquet").select("o_custkey").collect()}
-    assert {c for c, _, _ in got} - {0, 1, 2} and {c for c, _, _ in got} <= buyers
+    """Its SQL is too slow on larger tables to be registered."""
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "part", "customer", "supplier", "nation", "region", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    want = con.execute(oracle.sql("SELECT o.o_custkey AS candidate, b.job_posting_raw_id, count(*) AS matched FROM bridge b JOIN (SELECT DISTINCT o_custkey, skill_id FROM orders JOIN bridge ON job_posting_raw_id = o_orderkey) o USING (skill_id) GROUP BY 1, 2", "bridge")).fetchall()
+    got = catalogue.queries()["candidate_skill_overlap"](spark, SMALL).select("candidate", "job_posting_raw_id", "matched").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == set(want)
 
 
 def test_every_oracle_has_its_query():

@@ -237,12 +237,9 @@ def _early_stop(m: Mart) -> DataFrame:
     return requests.runs_until_dry(read(m.spark, m.dir, "events").groupBy(F.col("user_id").alias("batch_no")).agg(bought.alias("inserted")))
 
 
-def _overlap(m: Mart, every: bool) -> DataFrame:
-    """How many skills candidates, known by the parts they ordered, share with each posting: all
-    candidates, or the few that the query with SQL asks for."""
+def _overlap(m: Mart) -> DataFrame:
+    """How many skills candidates, known by the parts they ordered, share with each posting."""
     people = read(m.spark, m.dir, "orders").select(F.col("o_custkey").alias("candidate"), F.col("o_orderkey").alias("job_posting_raw_id"))
-    if not every:
-        people = people.where("candidate < 3")
     own = people.join(m.bridge, "job_posting_raw_id").select("candidate", "skill_id").distinct()
     return m.bridge.join(own, "skill_id").groupBy("candidate", "job_posting_raw_id").agg(F.count("*").alias("matched"))
 
@@ -346,8 +343,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "batch_of_three": lambda m: batches(m.postings.select("scrape_run_id").distinct(), ["scrape_run_id"], 3).withColumn("batch_no", F.col("batch_no").cast("long")),
         "response_class": _response_class,
         "early_stop": _early_stop,
-        "candidate_skill_overlap": lambda m: _overlap(m, False),
-        "candidate_skill_overlap_all": lambda m: _overlap(m, True),
+        "candidate_skill_overlap": _overlap,
         "latest_posting_per_company": _latest,
         "skill_demand_in_window": _window_demand,
         "parse_search_cards": lambda m: html.search_cards(_rendered(m, _CARDS)),

@@ -171,7 +171,6 @@ QUERIES = {
         """SELECT batch_no, inserted FROM (SELECT *, min(CASE WHEN inserted = 0 AND before = 0 THEN batch_no END) OVER () AS stop FROM (SELECT *, lag(inserted) OVER (ORDER BY batch_no) AS before FROM
  (SELECT user_id AS batch_no, count(*) FILTER (event_type = 'purchase' AND value > 60) AS inserted FROM events GROUP BY user_id))) WHERE stop IS NULL OR batch_no <= stop"""
     ),
-    "candidate_skill_overlap": sql("SELECT o.o_custkey AS candidate, b.job_posting_raw_id, count(*) AS matched FROM bridge b JOIN (SELECT DISTINCT o_custkey, skill_id FROM orders JOIN bridge ON job_posting_raw_id = o_orderkey) o USING (skill_id) WHERE o.o_custkey < 3 GROUP BY 1, 2", "bridge"),
     "latest_posting_per_company": sql("SELECT company, job_posting_raw_id, scraped_at FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY scraped_at DESC, job_posting_raw_id DESC) AS rn FROM fact) WHERE rn = 1", "fact"),
     "skill_demand_in_window": sql("SELECT skill_name, job_posting_count, dense_rank() OVER (ORDER BY job_posting_count DESC, skill_name) AS demand_rank FROM (SELECT skill_name, count(*) AS job_posting_count FROM asked WHERE scraped_at >= TIMESTAMP '1996-01-01' AND scraped_at < TIMESTAMP '1997-01-01' GROUP BY 1)", "asked"),
 }
