@@ -12,8 +12,8 @@ passage are cut alike wherever they stand.
 Tokens at a chunk's ends depend on the text beyond, so joins are repaired: from the last place in
 the left chunk to the first one in the right chunk where the text alone shows that a piece of the
 tokenizer's pattern starts, all text is encoded again. Such a place, a *seam*, is a space between
-two ASCII letters: no piece goes on over a space after a letter, and a space before a letter starts
-one, whatever stands before or behind. Both encodings start a piece at a seam, and merges never
+two printable ASCII characters: no piece of letters, digits or marks goes on over a space, and a
+space before one of them starts a piece, whatever stands before or behind. Both encodings start a piece at a seam, and merges never
 cross pieces, so from there on they agree exactly. A chunk without two seams isn't reused.
 
 Decoding gathers bytes by id; where it doesn't give a text back (two chunks of one hash, say), the
@@ -46,8 +46,8 @@ DICTIONARY, LEAST_BYTES, MOST_BYTES = 32_768, 48, 2_048
 
 RESULT = "struct<ids:array<int>,decoded:string>"
 
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
+_SOLID = np.zeros(256, bool)
+_SOLID[33:127] = True
 
 
 def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -70,11 +70,11 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def seams(data: np.ndarray) -> np.ndarray:
-    """Places of spaces between two letters."""
+    """Places of spaces between two printable ASCII characters."""
     if len(data) < 3:
         return np.zeros(0, np.int64)
-    letter = _LETTER[data]
-    return np.flatnonzero((data[1:-1] == 32) & letter[:-2] & letter[2:]) + 1
+    solid = _SOLID[data]
+    return np.flatnonzero((data[1:-1] == 32) & solid[:-2] & solid[2:]) + 1
 
 
 @dataclass
@@ -96,7 +96,7 @@ def chunks_of(data: np.ndarray, offsets: np.ndarray) -> Chunks:
     fit = (size >= LEAST_BYTES) & (size <= MOST_BYTES)
     start, end = start[fit], end[fit]
     at = seams(data)
-    # a seam shows itself inside the chunk: by the letters on both sides of the space
+    # a seam shows itself inside the chunk: by what stands on both sides of the space
     first, last = np.searchsorted(at, start + 1), np.searchsorted(at, end - 1) - 1
     two = first < last
     start, end, first, last = start[two], end[two], first[two], last[two]
