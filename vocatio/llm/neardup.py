@@ -274,7 +274,8 @@ def _confirmed(steps: Steps, pairs: DataFrame, texts: DataFrame, k: int, num: in
     crowded = steps.write(crowded.select(F.col("v").alias("hub"), F.expr(f"(size + {HUB_MEMBERS - 1}) div {HUB_MEMBERS}").alias("parts")))
     ends = pairs.select(F.col("u").alias("id"), "v").union(pairs.select(F.col("v").alias("id"), "v"))
     asked = ends.groupBy("id").agg(F.collect_set("v").alias("hubs"))
-    sets = texts.join(asked, "id").select("id", "hubs", set_builder(k)("text").alias("set"))
+    # by shuffle at every size: what is asked grows with the documents
+    sets = texts.join(asked.hint("merge"), "id").select("id", "hubs", set_builder(k)("text").alias("set"))
     sent = sets.select("id", "set", F.explode("hubs").alias("hub")).join(crowded, "hub", "left")
     member, parts = F.col("id") != F.col("hub"), F.coalesce("parts", F.lit(1))
     part = F.when(member, F.array(F.pmod(F.xxhash64("id"), parts))).otherwise(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))
@@ -406,7 +407,7 @@ def _across(steps: Steps, star: DataFrame, comp: DataFrame, reps: DataFrame, tex
     torn = steps.write(torn)  # read anew, so that a crowded group can be split
     rows = steps.write(labelled.join(torn, "coarse"))
     steps.drop(labelled, torn, between)
-    sets = steps.write(texts.join(rows.select("id").distinct(), "id", "left_semi").select("id", set_builder(k)("text").alias("set")))
+    sets = steps.write(texts.join(rows.select("id").distinct().hint("merge"), "id", "left_semi").select("id", set_builder(k)("text").alias("set")))
     steps.release()
     block = lambda n: F.expr(f"pmod(xxhash64(id), {n})")
     left = rows.where("component <> main").withColumn("lb", block("lefts")).withColumn("rb", F.explode(F.expr("sequence(0L, rights - 1)"))).withColumn("right", F.lit(False))
