@@ -97,6 +97,16 @@ def test_fuzzy_equals_brute_force(spark):
         assert {r.key: r.candidate for r in got.collect()} == want
 
 
+def test_pairs_are_those_that_letters_allow_once_each(spark):
+    rnd = random.Random(5)
+    names = sorted({"".join(rnd.choice("aabcde éßx") for _ in range(rnd.randint(0, 14))).strip() for _ in range(120)})
+    ts = lambda x: " ".join(sorted(x.split()))
+    for t in (0.9, 0.6):
+        want = sorted((a, b) for a in names for b in names if SequenceMatcher(None, ts(a), ts(b)).quick_ratio() >= t)
+        pairs = fuzzy.possible_pairs(spark.createDataFrame([(k,) for k in [*names, None]], "key string"), spark.createDataFrame([(c,) for c in names], "candidate string"), t)
+        assert sorted((r.key, r.candidate) for r in pairs.collect()) == want
+
+
 def test_resolve_prefers_values_then_keys(spark):
     m = spark.createDataFrame([("data engineers of clouds", "Cloud people"), ("cooks", "Cooking staff")], "key_normalized string, value_normalized string")
     keys = spark.createDataFrame([("cooking stafff",), ("data engineers of cloud",), ("zzz",)], "key string")
@@ -107,3 +117,9 @@ def test_resolve_prefers_values_then_keys(spark):
 def test_extract_skills(spark):
     df = spark.createDataFrame([("SQL, python and C++; python",), ("  ",), (None,)], "t string")
     assert [r[0] for r in df.select(resolvers.extract_skills(F.col("t"), ["python", "sql", "c++"])).collect()] == [["sql", "python", "c++"], [], []]
+
+
+def test_extract_phrases(spark):
+    df = spark.createDataFrame([("Machine-learning, deep learning; learning C++",), ("machine",), (None,)], "t string")
+    found = resolvers.extract_skills(F.col("t"), ["machine learning", "learning", "c++", "learning c++ today"])
+    assert [r[0] for r in df.select(found).collect()] == [["machine learning", "learning", "c++"], [], []]

@@ -91,6 +91,8 @@ def test_runs_stop_after_two_dry_batches(spark):
     df = spark.createDataFrame(list(enumerate([3, 0, 2, 0, 0, 5])), "batch_no int, inserted int")
     assert [r.batch_no for r in requests.runs_until_dry(df).orderBy("batch_no").collect()] == [0, 1, 2, 3, 4]
     assert requests.runs_until_dry(df.where("batch_no < 4")).count() == 4
+    assert [r.batch_no for r in requests.runs_until_dry(df, 1).orderBy("batch_no").collect()] == [0, 1]
+    assert requests.runs_until_dry(df, 3).count() == 6 and requests.runs_until_dry(df.limit(0)).count() == 0
 
 
 def test_space_classes_agree_with_python(spark):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vocatio.operators import backfill, checks, ledger
-from vocatio.operators.snapshots import batches, dimension, insert_new, upsert, with_ids
+from vocatio.operators.snapshots import batches, dimension, insert_new, numbered, upsert, with_ids
 from vocatio.plans import gold, silver
 
 AT = dt.datetime(2024, 1, 1)
@@ -133,3 +133,12 @@ def test_backfill(spark):
 
 def test_batches(spark):
     assert sorted(r.batch_no for r in batches(spark.range(5), ["id"], 2).collect()) == [0, 0, 1, 1, 2]
+
+
+def test_numbers_follow_the_order(spark):
+    rows = [(i * 7919 % 3001 % 50 if i % 9 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(7)
+    got = [(r.a, r.b) for r in sorted(numbered(df, ["a", "b"], "n").collect(), key=lambda r: r.n)]
+    assert got == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert sorted(r.n for r in numbered(df, ["a"], "n").collect()) == list(range(1, 3001))
+    assert numbered(df.limit(0), ["a"], "n").count() == 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocatio.operators.snapshots import numbered
+
 #: Values of the search parameters. Fixed values.
 TIME_RANGES = {"past_24h": "r86400", "past_week": "r604800", "past_month": "r2592000"}
 WORKPLACES = {"on_site": "1", "remote": "2", "hybrid": "3"}
@@ -45,11 +47,8 @@ def response_class(code: Column) -> Column:
 
 def runs_until_dry(batches: DataFrame, dry: int = 2) -> DataFrame:
     """The batches (batch_no, inserted) up to the one with which ``dry`` in a row brought nothing new."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("batch_no")
-    zero = F.sum((F.col("inserted") > 0).cast("int")).over(w)
-    streak = F.sum(F.when(F.col("inserted") == 0, 1).otherwise(0)).over(Window.partitionBy("island").orderBy("batch_no"))
-    marked = batches.withColumn("island", zero).withColumn("streak", streak)
-    stop = F.min(F.when(F.col("streak") >= dry, F.col("batch_no"))).over(Window.partitionBy())
-    return marked.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col("batch_no") <= F.col("stop"))).select("batch_no", "inserted")
+    rows = numbered(batches.select("batch_no", "inserted"), ["batch_no"], "__number")
+    # a batch without anything new is one of the last ``dry`` of itself and of the next ones
+    ends = rows.where("inserted = 0").select(F.explode(F.sequence(F.col("__number"), F.col("__number") + (dry - 1))).alias("__end"))
+    stop = ends.groupBy("__end").agg(F.count("*").alias("__n")).where(F.col("__n") == dry).agg(F.min("__end").alias("__stop"))  # one row
+    return rows.crossJoin(F.broadcast(stop)).where("__stop is null or __number <= __stop").select("batch_no", "inserted")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vocatio.operators.snapshots import batches
+
 BATCH_ROWS = 10
 
 _COLUMNS = {"source_url": "source_url", "title": "title_raw", "company": "company_raw", "location": "location_raw", "posted": "posted_raw", "applicants": "applicants_raw", "seniority_level": "seniority_level_raw", "employment_type": "employment_type_raw", "job_function": "job_function_raw", "industry": "industry_raw", "description": "description_raw"}
@@ -13,18 +15,9 @@ _COLUMNS = {"source_url": "source_url", "title": "title_raw", "company": "compan
 def to_import(legacy: DataFrame, postings: DataFrame, now: Column, size: int = BATCH_ROWS) -> DataFrame:
     """Legacy jobs with an id that bronze lacks, with batch_no by creation time, then id; the time
     of one without is now.
-
-    Rows are numbered within days, and days are put in order by their counts, so that no task
-    sorts all rows.
     """
     new = legacy.where("job_id is not null").join(postings.select("job_id").distinct(), "job_id", "left_anti").withColumn("__at", F.coalesce("created_at", now))
-    day = F.to_date("__at")
-    counts = new.groupBy(day.alias("__day")).agg(F.count("*").alias("__n"))
-    first = F.coalesce(F.sum("__n").over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("__day", first.alias("__first"))  # one row for each day
-    rn = F.row_number().over(Window.partitionBy("__day").orderBy("__at", "job_id"))
-    numbered = new.withColumn("__day", day).withColumn("__rn", rn).join(F.broadcast(counts), "__day")
-    return numbered.withColumn("batch_no", F.expr(f"(__first + __rn - 1) div {size}").cast("int")).drop("__day", "__rn", "__first")
+    return batches(new, ["__at", "job_id"], size)
 
 
 def import_runs(jobs: DataFrame, first_id: Column | int = 1, size: int = BATCH_ROWS) -> DataFrame:

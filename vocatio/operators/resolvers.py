@@ -52,7 +52,12 @@ def in_batches(keys: DataFrame, answer: Callable[[str, list[str]], list[str]], b
 
 
 def extract_skills(texts: Column, vocabulary: list[str]) -> Column:
-    """The vocabulary's single words in a text, in the text's order, once each, SKILLS at most; an
-    empty array for null and blank texts."""
-    words = F.filter(F.split(clean_key(F.regexp_replace(texts, r"[^\p{L}\p{N}+#]+", " ")), " "), lambda w: w.isin(*vocabulary))
-    return distinct_skills(F.array_distinct(words), SKILLS)
+    """The vocabulary's words and phrases (lower case, one space between words) in a text, in the
+    text's order, a longer one before those that begin it, once each, SKILLS at most; an empty array
+    for null and blank texts. A phrase may stand across punctuation."""
+    words = F.split(clean_key(F.regexp_replace(texts, r"[^\p{L}\p{N}+#]+", " ")), " ")
+    longest = max((len(v.split(" ")) for v in vocabulary), default=1)
+    found = words
+    if longest > 1:
+        found = F.flatten(F.transform(words, lambda w, i: F.array(*[F.array_join(F.slice(words, i + 1, n), " ") for n in range(longest, 0, -1)])))
+    return distinct_skills(F.array_distinct(F.filter(found, lambda w: w.isin(*vocabulary))), SKILLS)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of names that ids are counted in, and names looked at to find their bounds.
-RANGES, LOOKED_AT = 64, 64 * 32
+#: Ranges that rows are counted in: as many as shuffle partitions, within these bounds; and rows looked
+#: at for each range to find its bounds.
+LEAST_RANGES, MOST_RANGES, LOOKED_AT = 64, 1024, 32
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,21 +29,31 @@ def unseen(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
-def with_ids(names: DataFrame, name: str, id_col: str, existing: DataFrame | None = None) -> DataFrame:
-    """Distinct names with ids in their order, after the largest of the existing ids.
+def numbered(rows: DataFrame, order: list[str], col: str) -> DataFrame:
+    """The rows with consecutive numbers from 1 in ascending order of the columns, nulls first.
 
-    Names are dealt to ranges, so that no task sorts them all: a bounded look at the names gives
-    the ranges' bounds, the ranges' sizes give each one's first id.
+    Rows are dealt to ranges, so that no task sorts them all: a bounded look at the rows gives the
+    ranges' bounds, the ranges' sizes give each one's first number. Rows equal in all columns of the
+    order are in one range, in any order.
     """
-    looked = names.orderBy(F.xxhash64(name), name).limit(LOOKED_AT).agg(F.sort_array(F.collect_list(name)).alias("__all"))
-    step = F.greatest(F.floor(F.size("__all") / RANGES), F.lit(1)).cast("int")
-    bounds = looked.select(F.filter("__all", lambda x, i: (i > 0) & (i % step == 0)).alias("__bounds"))  # one row of RANGES names or so
-    dealt = names.crossJoin(F.broadcast(bounds)).select(name, F.size(F.filter("__bounds", lambda b: b <= F.col(name))).alias("__range"))
+    ranges = min(max(LEAST_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_RANGES)
+    keyed = rows.withColumn("__key", F.struct(*order))
+    looked = keyed.select("__key").orderBy(F.xxhash64("__key"), "__key").limit(ranges * LOOKED_AT).agg(F.sort_array(F.collect_list("__key")).alias("__all"))
+    step = F.greatest(F.floor(F.size("__all") / ranges), F.lit(1)).cast("int")
+    bounds = looked.select(F.filter("__all", lambda x, i: (i > 0) & (i % step == 0)).alias("__bounds"))  # one row of as many bounds as ranges, or so
+    dealt = keyed.crossJoin(F.broadcast(bounds)).withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= F.col("__key")))).drop("__bounds")
     sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))  # RANGES rows at most
-    out = dealt.withColumn("__rn", F.row_number().over(Window.partitionBy("__range").orderBy(name))).join(F.broadcast(firsts), "__range")
-    next_id = F.col("__first") + F.col("__rn")
+    firsts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))  # a row for each range
+    rn = F.row_number().over(Window.partitionBy("__range").orderBy("__key"))
+    out = dealt.withColumn("__rn", rn).join(F.broadcast(firsts), "__range")
+    return out.withColumn(col, F.col("__first") + F.col("__rn")).drop("__key", "__range", "__rn", "__first")
+
+
+def with_ids(names: DataFrame, name: str, id_col: str, existing: DataFrame | None = None) -> DataFrame:
+    """Distinct names with ids in their order, after the largest of the existing ids."""
+    out = numbered(names.select(name), [name], "__number")
+    next_id = F.col("__number")
     if existing is not None:
         top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
         out = out.crossJoin(F.broadcast(top))  # one row
@@ -58,8 +69,6 @@ def dimension(names: DataFrame, name: str, id_col: str, existing: DataFrame | No
     return existing.unionByName(with_ids(unseen(existing, names, [name]), name, id_col, existing).select(*existing.columns))
 
 
-def batches(rows: DataFrame, order: list, size: int, col: str = "batch_no") -> DataFrame:
-    """Consecutive numbers of batches of ``size`` rows, from 0, in that order. For lists of work,
-    such as runs or keys: one task sorts them."""
-    rn = F.row_number().over(Window.orderBy(*order))
-    return rows.withColumn(col, ((rn - 1) / size).cast("int"))
+def batches(rows: DataFrame, order: list[str], size: int, col: str = "batch_no") -> DataFrame:
+    """Consecutive numbers of batches of ``size`` rows, from 0, in ascending order of the columns."""
+    return numbered(rows, order, "__number").withColumn(col, F.expr(f"(__number - 1) div {size}").cast("int")).drop("__number")
