@@ -89,7 +89,7 @@ def audit(rows: DataFrame, part: str, flags: Sequence[str], count: str, lost: di
     """
     k = len(flags)
     names = names or "".join(chr(65 + i) for i in range(k))
-    joint = joint_failures(rows, part, flags, [count, *lost.values()])
+    joint = joint_failures(rows, part, flags, list(dict.fromkeys([count, *lost.values()])))
     new: list[str] = []
     for _ in range(7 + len(lost)):
         new.append(helper(joint, *new))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, audit, bpe, chat, decontaminate, neardup, passages, pii, quality, sharding, sql, toxicity
+from . import ann, audit, bpe, chat, decontaminate, infill, neardup, passages, pii, quality, sharding, sql, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_counterfactual_toxicity": toxicity.op9_counterfactual_toxicity,
         "op10_boosted_quality": quality.op10_boosted_quality,
         "op11_filter_interactions": audit.op11_filter_interactions,
+        "op12_fill_in_middle": infill.op12_fill_in_middle,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_minhash_star_components": sql.OP3,
         "op7_prefix_sum_sharding": sql.OP7,
         "op11_filter_interactions": audit.ORACLE_OP11,
+        "op12_fill_in_middle": infill.ORACLE_OP12,
     }
