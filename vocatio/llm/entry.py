@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, audit, bpe, chat, decontaminate, infill, neardup, passages, pii, quality, sharding, sql, toxicity
+from . import ann, audit, bpe, chat, decontaminate, infill, neardup, ngrams, passages, pii, quality, sharding, sql, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_boosted_quality": quality.op10_boosted_quality,
         "op11_filter_interactions": audit.op11_filter_interactions,
         "op12_fill_in_middle": infill.op12_fill_in_middle,
+        "op13_elias_fano_lm": ngrams.op13_elias_fano_lm,
     }
 
 
