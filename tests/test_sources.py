@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from vocatio.sources import html
 from vocatio.sources.store import Store
-from vocatio.streaming.ingest import ingest_pages
 
 CARD = '<li class="x"><h3> A <b>dev</b> </h3><h4>Acme</h4>{loc}<a class="base-card__full-link z" href="https://x.y/view/dev-3-at-9{i}?position=1&amp;pageNum=0&amp;t=q">l</a>'
 PLACE = '<span class="job-search-card__location">Here</span>'
@@ -45,13 +44,3 @@ def test_store_replaces_a_table_by_what_is_computed_from_it(spark, tmp_path):
     s.write(spark.range(3), "t")
     s.write(s.read("t").select((F.col("id") + 1).alias("id")), "t")
     assert sorted(r.id for r in s.read("t").collect()) == [1, 2, 3]
-
-
-def test_stream_stores_a_job_once(spark, tmp_path):
-    pages = str(tmp_path / "pages")
-    store = Store(spark, str(tmp_path / "store"))
-    for i in range(2):
-        spark.createDataFrame([(i, "u", SEARCH)], "page_id long, url string, html string").write.mode("append").parquet(pages)
-        q = ingest_pages(spark, pages, store, str(tmp_path / "cp"))
-        q.awaitTermination(60)
-    assert sorted(r.job_id for r in store.read("job_search_cards_raw", "bronze").collect()) == ["91", "92"]

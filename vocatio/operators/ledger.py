@@ -1,4 +1,8 @@
-"""The run ledger: what is to be done, and how runs went."""
+"""The run ledger: what is to be done, and how runs went.
+
+The functions on tables change a ledger as a whole; those on a store commit the change, so that two
+processes neither overwrite each other's entries nor take the same runs.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocatio.operators.snapshots import batches, upsert
+from vocatio.sources.store import Store, Transaction
 
 RUN_STATUSES = ("running", "successful", "failed")
 STAGES = ("normalization", "dbt", "skill_extraction")
@@ -79,3 +84,39 @@ def staging_upsert(staged: DataFrame, sent: DataFrame, at: Column) -> DataFrame:
 def staging_ready(postings: DataFrame, ids: DataFrame) -> DataFrame:
     """scrape_run_id, job_posting_raw_id of the ids sent; none for no ids."""
     return postings.join(ids.select("job_posting_raw_id").distinct(), "job_posting_raw_id", "left_semi").select("scrape_run_id", "job_posting_raw_id").distinct()
+
+
+LEDGER, LEDGER_LAYER = "normalization_process_runs", "bronze"
+LEDGER_SCHEMA = "normalization_process_run_id long, scrape_run_ids array<long>, status string, stage string, error string, started_at timestamp, finished_at timestamp"
+
+
+def _ledger(tx: Transaction) -> DataFrame:
+    return tx.read(LEDGER, LEDGER_LAYER) if tx.exists(LEDGER, LEDGER_LAYER) else tx.store.spark.createDataFrame([], LEDGER_SCHEMA)
+
+
+def claimable(runs: DataFrame, postings: DataFrame, ledger: DataFrame) -> DataFrame:
+    """scrape_run_id of runs to process that no running entry holds."""
+    held = ledger.where("status = 'running'").select(F.explode("scrape_run_ids").alias("scrape_run_id"))
+    return runs_to_process(runs, postings, ledger).distinct().join(held, "scrape_run_id", "left_anti")
+
+
+def claim_runs(store: Store, runs: DataFrame, postings: DataFrame, at: Column, size: int = 3) -> tuple[int, list[int]] | None:
+    """The id of a new running entry and the runs it holds: the first ``size`` that no successful entry
+    covers and no running one holds; None if there are none. Of several processes that claim at once,
+    each gets runs and an id of its own, as the ledger's change is committed against what it was."""
+
+    def change(tx: Transaction) -> tuple[int, list[int]] | None:
+        ledger = _ledger(tx)
+        mine = [r[0] for r in claimable(runs, postings, ledger).orderBy("scrape_run_id").limit(size).collect()]  # ``size`` rows
+        if not mine:
+            return None
+        grown = append_run(ledger, F.array(*[F.lit(i).cast("long") for i in mine]), at)
+        tx.write(grown, LEDGER, LEDGER_LAYER)
+        return tx.read(LEDGER, LEDGER_LAYER).agg(F.max("normalization_process_run_id")).first()[0], mine
+
+    return store.update(change)
+
+
+def commit_run(store: Store, run_id: int, at: Column, status: str | None = None, stage: str | None = None, error: str | None = None) -> None:
+    """One entry's new status or stage, whatever others write to the ledger meanwhile."""
+    store.update(lambda tx: tx.write(update_run(_ledger(tx), run_id, at, status, stage, error), LEDGER, LEDGER_LAYER))

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocatio.functions import requests, text
-from vocatio.operators import backfill, cascade, checks, fuzzy, ledger, resolvers
+from vocatio.operators import backfill, cascade, checks, fuzzy, ledger, outcomes, resolvers
 from vocatio.operators.snapshots import batches
 from vocatio.plans import gold, oracle, silver
 from vocatio.sources import adapter, html
 from vocatio.sources.adapter import read
+from vocatio.sources.store import QUARANTINE, Rejected, scratch
+from vocatio.streaming import ingest
 
 BASE = "https://jobs.example.com"
 
@@ -288,6 +290,92 @@ def _rendered(m: Mart, template: str) -> DataFrame:
     return read(m.spark, m.dir, "part").select("p_partkey", out.alias("html"))
 
 
+def _responses(m: Mart) -> DataFrame:
+    """What a collector was answered: a search page for each ten orders, then a page for each order.
+    Some searches and pages aren't found, and one page in the last quarter is refused."""
+    orders = read(m.spark, m.dir, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 10).cast("long").alias("run"), "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    card = '<li><h3>{}</h3><h4>Company {}</h4><span class="job-search-card__location"> {} </span><a class="base-card__full-link" href="https://jobs.example.com/view/job-{}?position=1&amp;pageNum=0&amp;x=y">go</a></li>'
+    post = '<h1 class="topcard__title">{}</h1><ul><li class="description__job-criteria-item"><h3 class="description__job-criteria-subheader">Seniority level</h3><span class="description__job-criteria-text--criteria">{}</span></li></ul><div class="show-more-less-html__markup">Ordered<br>{}</div>'
+
+    def fill(template: str, *values: str) -> Column:
+        parts = template.split("{}")
+        return F.concat(F.lit(parts[0]), *[x for v, p in zip(values, parts[1:], strict=True) for x in (F.col(v).cast("string"), F.lit(p))])
+
+    # ten orders a page
+    searches = orders.groupBy("run").agg(F.array_join(F.array_sort(F.collect_list(fill(card, "o_orderpriority", "o_custkey", "o_orderstatus", "o_orderkey"))), "").alias("cards"))
+    searches = searches.select(F.col("run").alias("at"), F.col("run").alias("scrape_run_id"), F.lit(None).cast("long").alias("job_id"), F.when(F.col("run") % 11 == 5, 404).otherwise(200).alias("status"), F.concat(F.lit("<ul>"), "cards", F.lit("</ul>")).alias("html"))
+    late = orders.agg((F.max("o_orderkey") * 3 / 4).alias("late"))
+    refused = orders.crossJoin(F.broadcast(late)).where("o_orderkey >= late and run % 11 <> 5 and o_orderkey % 5 <> 0").agg(F.min("o_orderkey").alias("refused"))  # one row
+    key = F.col("o_orderkey")
+    status = F.when(key == F.col("refused"), 429).when(key % 13 == 4, 404).otherwise(200)
+    posts = orders.withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")).crossJoin(F.broadcast(refused))
+    return searches.union(posts.select((key + 1_000_000_000_000).alias("at"), F.col("run"), key, status, fill(post, "o_orderpriority", "o_orderpriority", "day")))
+
+
+def _ingested(m: Mart, name: str) -> DataFrame:
+    """Every fifth job is stored already; the batch of responses comes twice."""
+    store = scratch(m.spark, "ingest")
+    old = read(m.spark, m.dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("job_id"), F.lit("stored").alias("title_raw"))
+    blank = ["source_url", "company_raw", "location_raw", "posted_raw", "applicants_raw", "seniority_level_raw", "employment_type_raw", "job_function_raw", "industry_raw", "description_raw"]
+    store.write(old.withColumns({"scrape_run_id": F.lit(None).cast("long"), **{c: F.lit(None).cast("string") for c in blank}}), ingest.POSTINGS, "bronze")
+    for _ in range(2):
+        ingest.add_batch(store, _responses(m), "ingest", 0)
+    return store.read(name, "bronze")
+
+
+def _role_of(domain: str, inputs: list[str], before: list[str] | None, down: str | None) -> list[str]:
+    if down and any(x.endswith(down) for x in inputs):
+        raise ConnectionError("unavailable")
+    out = [f" Role {x} " for x in inputs]
+    return out[:-1] if before is None and any(x.endswith("13") for x in inputs) else out
+
+
+def _answers_while_down(domain: str, inputs: list[str], before: list[str] | None) -> list[str]:
+    return _role_of(domain, inputs, before, "77")
+
+
+def _answers(domain: str, inputs: list[str], before: list[str] | None) -> list[str]:
+    return _role_of(domain, inputs, before, None)
+
+
+def _resolver_outcomes(m: Mart) -> DataFrame:
+    """Customers' names asked for, first of a resolver that fails at some of them, then of a whole one."""
+    store = scratch(m.spark, "outcomes")
+    keys = read(m.spark, m.dir, "customer").select(F.lit("title").alias("domain"), F.lit(None).cast("boolean").alias("use_title_key"), F.col("c_name").alias("key"))
+    for answer in (_answers_while_down, _answers):
+        outcomes.ask_in_waves(store, keys, answer, parallel=2000)
+    return store.read(outcomes.OUTCOMES, "bronze").select("domain", "key", "value", "error", F.col("attempts").cast("long").alias("attempts"))
+
+
+def _claimed_runs(m: Mart) -> DataFrame:
+    """Three claims; the first one's process fails, so the second takes the same runs."""
+    store, at = scratch(m.spark, "claims"), F.lit("2024-01-01").cast("timestamp")
+    found = m.postings.select("scrape_run_id").distinct()
+    for n in range(3):
+        claim = ledger.claim_runs(store, m.runs, found, at)
+        if n == 0 and claim:
+            ledger.commit_run(store, claim[0], at, status="failed", error="stopped")
+    return store.read(ledger.LEDGER, ledger.LEDGER_LAYER).select("normalization_process_run_id", "status", F.explode("scrape_run_ids").alias("scrape_run_id"))
+
+
+def _published_orders(m: Mart) -> DataFrame:
+    """Orders are published if their checks find nothing: first all, then those that are right. Rows by
+    check in quarantine, and rows that hold."""
+    store, orders = scratch(m.spark, "publish"), read(m.spark, m.dir, "orders")
+    lines = read(m.spark, m.dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    own = lambda tx: tx.read("orders", "bronze")
+    audits = {"unknown priority": lambda tx: own(tx).where("o_orderpriority = '4-NOT SPECIFIED'"), "no lines": lambda tx: checks.orphans(own(tx), lines, ["o_orderkey"]), "repeated": lambda tx: checks.duplicates(own(tx), ["o_orderkey"])}
+    for rows in (orders, orders.where("o_orderpriority <> '4-NOT SPECIFIED'").join(lines, "o_orderkey", "left_semi")):
+        try:
+            store.publish(rows, "orders", "bronze", audits)
+        except Rejected:
+            continue
+    held = store.read("orders", "bronze").agg(F.lit("published").alias("check"), F.count("*").alias("n"))
+    if not store.exists(*QUARANTINE):
+        return held
+    return store.read(*QUARANTINE).groupBy("check").agg(F.count("*").alias("n")).unionByName(held)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "gold_top_skills": lambda m: gold.top_skills(m.facts, m.bridge, m.skills),
@@ -348,6 +436,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "skill_demand_in_window": _window_demand,
         "parse_search_cards": lambda m: html.search_cards(_rendered(m, _CARDS)),
         "parse_job_post": lambda m: html.job_posts(_rendered(m, _POST)),
+        "ingest_runs": lambda m: _ingested(m, ingest.RUNS),
+        "ingest_postings": lambda m: _ingested(m, ingest.POSTINGS).select("scrape_run_id", "job_id", "source_url", "title_raw", "company_raw", "location_raw", "seniority_level_raw", "description_raw"),
+        "resolver_outcomes": _resolver_outcomes,
+        "claimed_runs": _claimed_runs,
+        "published_orders": _published_orders,
     }
     return {name: _of(f) for name, f in found.items()}
 

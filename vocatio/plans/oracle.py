@@ -76,6 +76,13 @@ def _fact(stg: str, suffix: str) -> tuple[list[str], str]:
 _CTE["fact"] = _fact("stg", "")
 _CTE["fact_old"] = _fact("stg_old", "_old")
 _CTE["fact_next"] = _fact("stg", "_next")
+_CTE["refused"] = ([], "SELECT min(o_orderkey) AS refused FROM orders WHERE o_orderkey >= (SELECT max(o_orderkey) * 3 / 4 FROM orders) AND (o_orderkey // 10) % 11 <> 5 AND o_orderkey % 5 <> 0")
+_CTE["collected"] = (["refused"], "SELECT *, o_orderkey // 10 AS run, (o_orderkey // 10) % 11 <> 5 AS found, (o_orderkey // 10) % 11 <> 5 AND o_orderkey % 5 <> 0 AND o_orderkey % 13 <> 4 AND o_orderkey < coalesce(refused, 9223372036854775807) AS taken FROM orders, refused")
+_CTE["names"] = ([], "SELECT c_name AS key, 'role ' || lower(c_name) AS value, (row_number() OVER (ORDER BY c_name) - 1) // 3 AS batch FROM (SELECT DISTINCT c_name FROM customer)")
+_CTE["first_time"] = (["names"], "SELECT *, bool_or(key LIKE '%77') OVER (PARTITION BY batch) AS bad, CASE WHEN bool_or(key LIKE '%13') OVER (PARTITION BY batch) THEN 2 ELSE 1 END AS attempts FROM names")
+_CTE["asked_first"] = (["first_time"], "SELECT key, CASE WHEN NOT bad THEN value END AS value, CASE WHEN bad THEN 'unavailable' END AS error, CASE WHEN bad THEN 1 ELSE attempts END AS attempts FROM first_time WHERE batch // 2000 <= coalesce((SELECT min(batch // 2000) FROM first_time WHERE bad), 9223372036854775807)")
+_CTE["left_over"] = (["names", "asked_first"], "SELECT key, value, (row_number() OVER (ORDER BY key) - 1) // 3 AS batch FROM names WHERE key NOT IN (SELECT key FROM asked_first WHERE value IS NOT NULL)")
+_CTE["claimable"] = (["runs", "postings"], "SELECT scrape_run_id, row_number() OVER (ORDER BY scrape_run_id) AS rn FROM runs WHERE status = 'successful' AND scrape_run_id IN (SELECT scrape_run_id FROM postings)")
 _CTE["asked"] = (["fact", "bridge", "dim_skills"], "SELECT f.*, skill_name FROM fact f JOIN bridge USING (job_posting_raw_id) JOIN dim_skills USING (skill_id)")
 
 
@@ -113,6 +120,20 @@ def _ladder(key: str, raw: bool) -> str:
 
 
 QUERIES = {
+    "ingest_runs": sql(
+        """SELECT run AS scrape_run_id, CASE WHEN NOT any_value(found) OR run >= any_value(refused) // 10 THEN 'failed' ELSE 'successful' END AS status, count(*) FILTER (found) AS jobs_seen_count, count(*) FILTER (taken) AS jobs_inserted_count,
+ CASE WHEN NOT any_value(found) THEN 'search failed' WHEN run >= any_value(refused) // 10 THEN 'blocked: 429' END AS error_message FROM collected GROUP BY run""",
+        "collected",
+    ),
+    "ingest_postings": sql(
+        """SELECT run AS scrape_run_id, o_orderkey AS job_id, 'https://jobs.example.com/view/job-' || o_orderkey || '?position=1&pageNum=0' AS source_url, o_orderpriority AS title_raw, 'Company ' || o_custkey AS company_raw, o_orderstatus AS location_raw, o_orderpriority AS seniority_level_raw,
+ 'Ordered' || chr(10) || strftime(o_orderdate, '%Y-%m-%d') AS description_raw FROM collected WHERE taken UNION ALL SELECT NULL, o_orderkey, NULL, 'stored', NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 5 = 0""",
+        "collected",
+    ),
+    "resolver_outcomes": sql("SELECT 'title' AS domain, key, value, error, attempts FROM asked_first UNION ALL SELECT 'title', key, value, NULL, CASE WHEN bool_or(key LIKE '%13') OVER (PARTITION BY batch) THEN 2 ELSE 1 END FROM left_over", "asked_first", "left_over"),
+    "claimed_runs": sql("SELECT 1 AS normalization_process_run_id, 'failed' AS status, scrape_run_id FROM claimable WHERE rn <= 3 UNION ALL SELECT 1 + (rn + 2) // 3, 'running', scrape_run_id FROM claimable WHERE rn <= 6", "claimable"),
+    "published_orders": """WITH bad AS (SELECT 'unknown priority' AS "check" FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED' UNION ALL SELECT 'no lines' FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) UNION ALL SELECT 'repeated' FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1))
+ SELECT "check", count(*) AS n FROM bad GROUP BY 1 UNION ALL SELECT 'published', count(*) FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED' AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
     "gold_top_skills": sql(f"SELECT skill_name, {_REACH}, count(DISTINCT title_id) AS title_count, count(DISTINCT location_id) AS location_count FROM asked GROUP BY skill_name", "asked"),
     "gold_skills_by_role": sql(f"SELECT title_normalized, seniority, skill_name, {_REACH} FROM asked GROUP BY ALL", "asked"),
     "gold_top_skills_by_industry": sql(
