@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocatio.functions import requests, text
-from vocatio.operators import backfill, cascade, checks, fuzzy, ledger, outcomes, resolvers
+from vocatio.operators import backfill, cascade, checks, fuzzy, ledger, outcomes, phrases, resolvers
 from vocatio.operators.snapshots import batches
 from vocatio.plans import gold, oracle, silver
 from vocatio.sources import adapter, html
@@ -376,6 +376,18 @@ def _published_orders(m: Mart) -> DataFrame:
     return store.read(*QUARANTINE).groupBy("check").agg(F.count("*").alias("n")).unionByName(held)
 
 
+def _skills_by_vocabulary(m: Mart) -> DataFrame:
+    """Descriptions of orders by their lines; parts' names, their first words, types, and some of both are phrases."""
+    part = read(m.spark, m.dir, "part").select("p_partkey", "p_name", "p_type")
+    both = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" ", "p_type", "p_name"))
+    vocabulary = part.select(F.explode(F.array("p_name", F.substring_index("p_name", " ", 1), "p_type", both)).alias("phrase")).where("phrase is not null")
+    lines = read(m.spark, m.dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(part, "p_partkey")
+    # an order has a handful of lines
+    texts = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_partkey", F.concat(F.initcap("p_name"), F.lit(" ("), "p_type", F.lit(")")).alias("t")))), lambda x: x["t"]), ", ").alias("description"))
+    found = phrases.skills_by_vocabulary(texts, vocabulary, "l_orderkey", "description")
+    return found.select("l_orderkey", F.array_join("skills", ";").alias("skills"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "gold_top_skills": lambda m: gold.top_skills(m.facts, m.bridge, m.skills),
@@ -439,6 +451,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_runs": lambda m: _ingested(m, ingest.RUNS),
         "ingest_postings": lambda m: _ingested(m, ingest.POSTINGS).select("scrape_run_id", "job_id", "source_url", "title_raw", "company_raw", "location_raw", "seniority_level_raw", "description_raw"),
         "resolver_outcomes": _resolver_outcomes,
+        "skills_by_vocabulary": _skills_by_vocabulary,
         "claimed_runs": _claimed_runs,
         "published_orders": _published_orders,
     }

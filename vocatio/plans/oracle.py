@@ -131,6 +131,15 @@ QUERIES = {
         "collected",
     ),
     "resolver_outcomes": sql("SELECT 'title' AS domain, key, value, error, attempts FROM asked_first UNION ALL SELECT 'title', key, value, NULL, CASE WHEN bool_or(key LIKE '%13') OVER (PARTITION BY batch) THEN 2 ELSE 1 END FROM left_over", "asked_first", "left_over"),
+    "skills_by_vocabulary": """WITH RECURSIVE book AS (SELECT DISTINCT unnest([p_name, split_part(p_name, ' ', 1), lower(p_type), CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) || ' ' || p_name END]) AS phrase FROM part),
+ t AS (SELECT l_orderkey AS id, string_split(string_agg(p_name || ' ' || lower(p_type), ' ' ORDER BY l_linenumber, p_partkey), ' ') AS w FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey),
+ g AS (SELECT id, unnest(range(1, len(w) + 1)) AS pos, w FROM t),
+ c AS (SELECT id, pos, n, array_to_string(w[pos : pos + n - 1], ' ') AS phrase FROM g, (SELECT unnest([1, 2, 3]) AS n) WHERE pos + n - 1 <= len(w)),
+ b AS (SELECT id, pos, max(n) AS n, max_by(phrase, n) AS phrase FROM c WHERE phrase IN (SELECT phrase FROM book WHERE phrase IS NOT NULL) GROUP BY id, pos),
+ s AS (SELECT g.id, g.pos, b.n, b.phrase FROM g LEFT JOIN b ON b.id = g.id AND b.pos = g.pos),
+ r AS (SELECT * FROM s WHERE pos = 1 UNION ALL SELECT s.* FROM r JOIN s ON s.id = r.id AND s.pos = r.pos + coalesce(r.n, 1)),
+ f AS (SELECT id, phrase, min(pos) AS pos, row_number() OVER (PARTITION BY id ORDER BY min(pos)) AS rn FROM r WHERE phrase IS NOT NULL GROUP BY id, phrase)
+ SELECT id AS l_orderkey, string_agg(phrase, ';' ORDER BY pos) AS skills FROM f WHERE rn <= 10 GROUP BY id""",
     "claimed_runs": sql("SELECT 1 AS normalization_process_run_id, 'failed' AS status, scrape_run_id FROM claimable WHERE rn <= 3 UNION ALL SELECT 1 + (rn + 2) // 3, 'running', scrape_run_id FROM claimable WHERE rn <= 6", "claimable"),
     "published_orders": """WITH bad AS (SELECT 'unknown priority' AS "check" FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED' UNION ALL SELECT 'no lines' FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) UNION ALL SELECT 'repeated' FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1))
  SELECT "check", count(*) AS n FROM bad GROUP BY 1 UNION ALL SELECT 'published', count(*) FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED' AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
