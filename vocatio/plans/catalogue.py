@@ -447,7 +447,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "latest_posting_per_company": _latest,
         "skill_demand_in_window": _window_demand,
         "parse_search_cards": lambda m: html.search_cards(_rendered(m, _CARDS)),
-        "parse_job_post": lambda m: html.job_posts(_rendered(m, _POST)),
+        "parse_job_post": lambda m: html.job_posts(_rendered(m, _POST)).withColumn("seniority_level", F.try_element_at("criteria", F.lit("Seniority level"))).drop("criteria"),
         "ingest_runs": lambda m: _ingested(m, ingest.RUNS),
         "ingest_postings": lambda m: _ingested(m, ingest.POSTINGS).select("scrape_run_id", "job_id", "source_url", "title_raw", "company_raw", "location_raw", "seniority_level_raw", "description_raw"),
         "resolver_outcomes": _resolver_outcomes,
