@@ -29,7 +29,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Rows are grouped by their own text. Where a doc_id is null or stands for several texts, each of
     its texts goes by a key made of both, behind all doc_ids, so no text is lost with another one of
-    its id. Of equal rows one stays. Texts without words are no duplicates of other doc_ids' texts.
+    its id. Of rows of one id and text the least by its columns, in their order, stays. Texts without words are no duplicates of other doc_ids' texts.
     """
     id_, several, key = helper(docs), helper(docs, helper(docs)), helper(docs, helper(docs), helper(docs, helper(docs)))
     text = F.xxhash64(F.col("text").isNull(), "text")
@@ -42,7 +42,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     made = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"), 2) + (1 << 62)
     marked = docs.join(often, F.col("doc_id").eqNullSafe(F.col(id_)), "left")
     keyed = marked.withColumn(key, F.when(F.col(several), made).otherwise(F.col("doc_id").cast("long"))).drop(id_)
-    once = keyed.where(F.col(several).isNull()).union(keyed.where(F.col(several).isNotNull()).dropDuplicates([key]))
+    named = [f"`{c}`" for c in keyed.columns if c != key]
+    least = keyed.where(F.col(several).isNotNull()).groupBy(key).agg(F.min(F.struct(*named)).alias(several)).select(f"{several}.*", key).select(*keyed.columns)
+    once = keyed.where(F.col(several).isNull()).union(least)
     rest = neardup.near_duplicates(once, k=5, num=80, den=100, id_col=key).where(~F.col("kept")).select(key)
     return once.join(rest, key, "left_anti").select(*docs.columns)
 

@@ -467,6 +467,15 @@ def test_shards_of_nothing(spark):
     assert sharding.shard_documents(spark.createDataFrame([], DOC), 8).count() == 0
 
 
+def test_written_shards_hold_every_row_of_repeated_and_null_ids(spark, tmp_path):
+    rows = [(1, "a", 1), (1, "a", 2), (1, "b", 3), (None, "a", 4), (2, None, 5), (2, "", 6), (None, None, 7), (1, "a", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Slot int").repartition(3)
+    sharding.write_shards(docs, sharding.shard_documents(docs, 3), str(tmp_path / "s"))
+    got = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((i, t) for i, t, _ in rows), key=str)
+    assert sorted((r.shard, r.slot) for r in got) == sorted((r.shard, r.slot) for r in sharding.shard_documents(docs, 3).collect())
+
+
 def test_written_shards_hold_the_texts(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], DOC)
     sharding.write_shards(docs, sharding.shard_documents(docs, 4), str(tmp_path / "s"))

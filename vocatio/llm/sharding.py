@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import cut, table
+from .storage import cut, helper, table
 
 #: Rows of one range of the order column, about.
 RANGE_ROWS = 250_000
@@ -64,8 +64,21 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """The documents as Parquet, one folder for each shard, rows sorted by slot in each file."""
-    joined = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
+    """The documents as Parquet, one folder for each shard, rows sorted by slot in each file.
+
+    ``placed`` is what shard_documents made of the same rows. Rows meet by doc_id, a null one too, and
+    the text's checksum; of those equal in both, the n-th text in order meets the n-th place, so every
+    row is written once whatever ids repeat. ``shard`` and ``slot`` columns of the documents are replaced.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    crc, rank = helper(docs), helper(docs, helper(docs))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(*kept, F.crc32(text.cast("binary")).alias(crc))
+    rows = rows.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", crc).orderBy(text)))
+    places = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    places = places.withColumn("_rank", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy("shard", "slot"))).select("_id", "_crc", "_rank", F.struct("shard", "slot").alias("_place"))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(crc) == F.col("_crc")) & (F.col(rank) == F.col("_rank"))
+    joined = rows.join(places, on).select(*kept, "_place.shard", "_place.slot")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     joined.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
