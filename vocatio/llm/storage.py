@@ -35,8 +35,8 @@ class Steps:
     begins: what is built on it is neither computed twice nor lost with an executor, and the
     shuffles that led to it can go. ``drop`` deletes tables that no later step reads."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, codec: str = "snappy"):
+        self.spark, self.codec = spark, codec
         self.folder = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
         self.number = 0
         _kept.append(self.folder)
@@ -44,7 +44,7 @@ class Steps:
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{self.number}.parquet"
         self.number += 1
-        df.write.parquet(path)
+        df.write.parquet(path, compression=self.codec)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.__dict__["_written"] = path
         return out
