@@ -424,13 +424,35 @@ def test_neighbours_in_a_group_of_near_copies(spark):
     x[::3] = x[0] + 0.01 * rnd.normal(size=(1000, 24))
     x = x.astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC)
-    got = ann.nearest(df, df.where("vec_id % 20 = 0"), 20).toPandas()
     y = x.astype(float)
-    for q, g in got.groupby("query_id"):
-        s = y @ y[q]
-        s[q] = -np.inf
-        assert list(g.sort_values("rank").vec_id) == list(np.lexsort((np.arange(3000), -s))[:20])
-    assert len(got) == 150 * 20
+    for kept in (1.0, ann.KEPT):
+        got = ann.nearest(df, df.where("vec_id % 20 = 0"), 20, kept=kept).toPandas()
+        hits = 0
+        for q, g in got.groupby("query_id"):
+            s = y @ y[q]
+            s[q] = -np.inf
+            want = list(np.lexsort((np.arange(3000), -s))[:20])
+            hits += len(set(want) & set(g.vec_id))
+            assert kept < 1 or list(g.sort_values("rank").vec_id) == want
+        assert len(got) == 150 * 20 and hits >= 0.99 * len(got)
+
+
+def test_codes_leave_few_rows_to_rank():
+    """Of 50,000 rows of a shard fewer than 5 % are ranked by exact products, and 99 % of neighbours found."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50_000, 32)) + 2 * rng.normal(size=(40, 32))[rng.integers(0, 40, 50_000)]
+    books = ann.fit(x[:4096], rounds=4)
+    books.margin = ann.margin(x[:4096], books, 20)
+    assert 0 < books.margin < 1
+    ids, asked = np.arange(len(x)), np.arange(0, len(x), 1000)
+    best = ann.Best(len(asked), 20)
+    codes = ann.packed(ann.assign(ann._parts(x), books, rounds=1))
+    ranked = ann.scan_shard(ids, x, codes, asked, x[asked], ann.tables(x[asked], books), books, 20, best)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :20]
+    found = sum(len(set(a) & set(b)) for a, b in zip(want, best.id, strict=True))
+    assert ranked < 0.05 * len(x) * len(asked) and found >= 0.99 * want.size
 
 
 def test_few_and_no_vectors(spark):

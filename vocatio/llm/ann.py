@@ -4,8 +4,11 @@ Each vector is coded by one of 16 centroids in every pair of dimensions. Centroi
 minimise an anisotropic loss, in which the part of the residual that is parallel to the vector
 weighs more than the rest, since it is what changes large inner products. The codebooks are fitted
 on a bounded sample; every vector is coded. A scan adds up table entries, a byte (two codes) at a
-time, for a block of queries; exact products rank again every row whose sum is so near that its
-quantisation error could make it one of the best, so the neighbours are exact.
+time, for a block of queries; exact products rank again the rows whose sum is so near that their
+quantisation error could make them one of the best. By how much a true neighbour's sum falls short,
+against the longest it could (Cauchy-Schwarz), is measured on the sample that the codebooks are
+fitted on: a share of KEPT of true neighbours lies within, and so is found. A share of 1 takes the
+longest itself, and the neighbours are exact.
 
 Queries go out in blocks of bounded size, every block meets all vectors, and only the k best of
 each query and task are shuffled.
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import cut, table
+from .storage import table, written
 
 #: Vectors that the codebooks are fitted on, at most: those with the smallest hash of the id.
 FIT_ROWS = 8_192
@@ -30,7 +33,11 @@ FIT_ROWS = 8_192
 QUERY_BLOCK = 4_096
 
 #: Candidates of a shard whose exact products say how good the others must be, for each neighbour asked for.
-RERANK = 12
+RERANK = 4
+
+#: The share of true neighbours whose error is to lie within the margin, and rows of the sample that
+#: are searched for among the others to measure it, at most.
+KEPT, MARGIN_QUERIES = 0.999, 512
 
 #: Rows of a shard: scanned together.
 SHARD_ROWS = 8_192
@@ -43,10 +50,12 @@ CENTROIDS = 16
 
 @dataclass
 class Codebooks:
-    """Pairs of dimensions by centroids by 2; the weight of parallel errors."""
+    """Pairs of dimensions by centroids by 2; the weight of parallel errors; and how far a neighbour's
+    sum may fall short of its product, as a share of the residual's length times the query's."""
 
     centres: np.ndarray
     eta: float
+    margin: float = 1.0
 
 
 def _parts(x: np.ndarray) -> np.ndarray:
@@ -176,8 +185,37 @@ def residuals(vectors: np.ndarray, codes: np.ndarray, books: Codebooks) -> np.nd
     return np.sqrt((rest**2).sum(axis=(1, 2)))
 
 
-def scan_shard(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, lut: np.ndarray, books: Codebooks, k: int, best: Best) -> None:
-    """Adds the shard's rows to the best ones of each query."""
+def margin(vectors: np.ndarray, books: Codebooks, k: int, kept: float = KEPT) -> float:
+    """The quantile ``kept`` of (product - sum) / (residual's length * query's length) over the k true
+    neighbours of MARGIN_QUERIES of the vectors among all of them; 1, which holds for all, where
+    there are too few to tell or ``kept`` is 1. Vectors that repeat count once."""
+    x = np.unique(vectors, axis=0)
+    if kept >= 1 or len(x) <= 4 * k:
+        return 1.0
+    codes = packed(assign(_parts(x), books))
+    rest = residuals(x, codes, books)
+    rng = np.random.default_rng(12)
+    asked = rng.permutation(len(x))[:MARGIN_QUERIES]
+    q = x[asked]
+    lut, sums = tables(q, books), np.zeros((len(x), len(q)), np.float32)
+    for b in range(codes.shape[1]):
+        sums += lut[b][codes[:, b]]
+    product = q @ x.T
+    product[np.arange(len(q)), asked] = -np.inf
+    top = np.argpartition(-product, k - 1, axis=1)[:, :k]
+    short = np.take_along_axis(product - sums.T, top, 1)
+    longest = rest[top] * np.sqrt((q**2).sum(axis=1))[:, None]
+    ratio = short[longest > 0] / longest[longest > 0]
+    return float(min(1.0, max(0.0, np.quantile(ratio, kept)))) if len(ratio) else 1.0
+
+
+def _products(queries: np.ndarray, rows: np.ndarray, r: np.ndarray, c: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """queries[r] . rows[c], each summed in the same order, so that equal vectors tie in all shards."""
+    return np.concatenate([(queries[r[a : a + block]] * rows[c[a : a + block]]).sum(axis=1) for a in range(0, max(len(r), 1), block)])
+
+
+def scan_shard(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, lut: np.ndarray, books: Codebooks, k: int, best: Best) -> int:
+    """Adds the shard's rows to the best ones of each query; how many pairs were ranked by exact products."""
     # Of equal vectors only the k + 1 smallest ids can be among the k nearest: one row stands for all
     order = np.lexsort((ids, *vectors.T[::-1]))
     ids, vectors, codes = ids[order], vectors[order], codes[order]
@@ -194,6 +232,7 @@ def scan_shard(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_id
     rest = residuals(distinct, wide, books)
     norm = np.sqrt((distinct**2).sum(axis=1))
     need = min(k + 1, len(head))  # the query's own row may be one of them
+    ranked = 0
     for a in range(0, len(queries), 256):
         q = slice(a, min(a + 256, len(queries)))
         total = np.zeros((len(head), q.stop - a), np.float32)
@@ -206,21 +245,19 @@ def scan_shard(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_id
         first = np.argpartition(-approx, n - 1, axis=1)[:, :n] if n < len(head) else np.tile(np.arange(n), (q.stop - a, 1))
         known = np.stack([distinct[t] @ v for t, v in zip(first, queries[q], strict=True)])
         bar = np.maximum(np.partition(known, n - need, axis=1)[:, n - need], best.score[q, -1]) - slack
-        # Cauchy-Schwarz: an exact product differs from its sum by the residual's length times the query's at most
-        near = approx + size_q[:, None] * rest >= bar[:, None]
-        some = np.flatnonzero(near.any(axis=0))
+        # by Cauchy-Schwarz a product differs from its sum by the residual's length times the query's at most
+        near = approx + books.margin * size_q[:, None] * rest >= bar[:, None]
+        np.put_along_axis(near, first, True, 1)
+        r, c = np.nonzero(near)
+        ranked += len(r)
+        value = _products(queries[q], distinct, r, c)
+        order = np.lexsort((members[c, 0], -value, r))
+        r, c, value = r[order], c[order], value[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        won = place < need
         top = np.full((q.stop - a, need), -1)
         exact = np.full(top.shape, -np.inf)
-        if len(some):
-            product = queries[q] @ distinct[some].T
-            keep = min(need, len(some))
-            edge = np.partition(product, len(some) - keep, axis=1)[:, len(some) - keep] - slack
-            for r, v in enumerate(queries[q]):
-                c = some[product[r] >= edge[r]]
-                # each product summed in the same order, so that equal vectors tie in all shards
-                score = (distinct[c] * v).sum(axis=1)
-                order = np.lexsort((members[c, 0], -score))[:need]
-                top[r, : len(order)], exact[r, : len(order)] = c[order], score[order]
+        top[r[won], place[won]], exact[r[won], place[won]] = c[won], value[won]
         score = np.repeat(exact, copies, axis=1)
         who = np.where((top >= 0)[:, :, None], members[top], -1).reshape(len(top), -1)
         score[(who < 0) | (who == query_ids[q][:, None])] = -np.inf
@@ -233,6 +270,7 @@ def scan_shard(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_id
         part.k, part.score, part.id = best.k, best.score[q], best.id[q]
         part.add(score, np.where(np.isneginf(score), np.iinfo(np.int64).max, who))
         best.score[q], best.id[q] = part.score, part.id
+    return ranked
 
 
 def scanner(spark: SparkSession, books: Codebooks, query_ids: np.ndarray, queries: np.ndarray, k: int):
@@ -255,9 +293,10 @@ def scanner(spark: SparkSession, books: Codebooks, query_ids: np.ndarray, querie
     return scan
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", kept: float = KEPT) -> DataFrame:
     """query_id, rank (int, from 1), vec_id, score: for each query its k best rows found, other
     than those of its own id, by inner product in double precision; ties go to the smaller id.
+    ``kept`` is the share of true neighbours to be found, as measured on the sample; 1 finds all.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, on either
     side; neither do vectors of another length than most have, and rows without an id. Rows that
@@ -274,8 +313,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == length.d)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow()
-    books = fit(_matrix(sample.column("v").combine_chunks()).astype(float))
-    index = cut(rows.withColumn("codes", encoder(spark, books)("v")))
+    fitted = _matrix(sample.column("v").combine_chunks()).astype(float)
+    books = fit(fitted)
+    books.margin = margin(fitted, books, k, kept)
+    index = written(rows.withColumn("codes", encoder(spark, books)("v")))
 
     asked = pick(queries).where(F.size("v") == length.d)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
