@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocatio.functions import requests, text
-from vocatio.operators import backfill, cascade, checks, fuzzy, ledger, outcomes, phrases, resolvers
+from vocatio.operators import backfill, cascade, checks, fuzzy, ledger, outcomes, pacing, phrases, places, resolvers, titles
 from vocatio.operators.snapshots import batches
 from vocatio.plans import gold, oracle, silver
 from vocatio.sources import adapter, html
@@ -388,6 +388,53 @@ def _skills_by_vocabulary(m: Mart) -> DataFrame:
     return found.select("l_orderkey", F.array_join("skills", ";").alias("skills"))
 
 
+def _location_rules(m: Mart) -> DataFrame:
+    """Locations of orders in eight spellings. Customers' nations are countries, those of one region
+    states; a customer lives in one of 40 cities, which several nations have, with its customers as weight."""
+    n = read(m.spark, m.dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    by_state = F.col("n_regionkey") == 1
+    code = F.when(by_state, F.concat(F.lit("S"), F.col("n_nationkey").cast("string")))
+    country = F.when(by_state, places.HOME).otherwise(F.col("n_name"))
+    none = F.lit(None).cast("string")
+    named = n.withColumns({"code": code, "country": country})
+    homes = read(m.spark, m.dir, "customer").select("c_custkey", "c_nationkey", F.concat(F.lit("City "), (F.col("c_custkey") % 40).cast("string")).alias("city")).join(named, F.col("c_nationkey") == F.col("n_nationkey"))
+    cities = homes.groupBy("city", "code", "country").agg(F.count("*").cast("double").alias("weight")).select(F.col("city").alias("phrase"), F.lit("city").alias("kind"), F.col("city").alias("name"), F.col("code").alias("state"), "country", "weight")
+    zero = F.lit(0.0).alias("weight")
+    states = named.where(by_state).select(F.explode(F.array("n_name", "code")).alias("phrase"), F.lit("state").alias("kind"), F.col("n_name").alias("name"), F.col("code").alias("state"), "country", zero)
+    countries = named.where(~by_state).select(F.col("n_name").alias("phrase"), F.lit("country").alias("kind"), F.col("n_name").alias("name"), none.alias("state"), "country", zero)
+    gazetteer = places.fixed_places(m.spark).unionByName(cities).unionByName(states).unionByName(countries)
+    o = read(m.spark, m.dir, "orders").select("o_orderkey", "o_custkey").join(homes, F.col("o_custkey") == F.col("c_custkey"))
+    form, other = F.col("o_orderkey") % 8, F.concat(F.lit("city "), (F.col("o_orderkey") % 45).cast("string"))
+    said = F.when(form == 0, F.concat(F.lit("Suite 5, "), "city", F.lit(", "), "n_name", F.lit(" 10001"))).when(form == 1, F.lower("city")).when(form == 2, F.col("n_name")).when(form == 3, "Remote")
+    said = said.when(form == 4, F.concat(F.lit("Location, "), "n_name")).when(form == 5, F.concat(other, F.lit("; "), "city", F.lit(", "), "n_name"))
+    said = said.when(form == 6, F.concat(F.lower("n_name"), F.lit(" - "), "city")).otherwise(F.concat_ws(", ", "city", F.coalesce("code", F.lit("USA"))))
+    return places.locations_by_rules(o.select(said.alias("location")), gazetteer)
+
+
+def _title_rules(m: Mart) -> DataFrame:
+    """Titles of parts in seven spellings; a gizmo is a widget, and a widget a small ring. Hot things
+    and lead bolts are occupations of their own, other anvils are none."""
+    p = read(m.spark, m.dir, "part").select("p_partkey", "p_name", "p_brand")
+    adjective, noun = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    words = p.select(noun.alias("noun")).distinct()
+    plain = words.where("noun <> 'anvil'").select(F.col("noun").alias("phrase"), F.concat(F.initcap("noun"), F.lit(" Makers")).alias("occupation"))
+    hot = words.select(F.concat(F.lit("hot "), "noun").alias("phrase"), F.concat(F.lit("Hot "), F.initcap("noun"), F.lit(" Specialists")).alias("occupation"))
+    lead = words.where("noun = 'bolt'").select(F.concat(F.lit("Lead "), "noun").alias("phrase"), F.lit("Bolt Leads").alias("occupation"))
+    rules = titles.fixed_rules(m.spark).withColumn("place", F.col("place") + 2).unionByName(m.spark.createDataFrame([(0, "widget", "small ring"), (1, "gizmo", "widget")], titles.RULES))
+    form = F.col("p_partkey") % 7
+    said = F.when(form == 0, F.concat(F.lit("Sr. "), "p_name", F.lit(", Finance Department"))).when(form == 1, F.upper("p_name")).when(form == 2, F.concat(F.lit("Seeking "), "p_name"))
+    said = said.when(form == 3, F.concat_ws(" ", adjective, F.lit("Lead"), noun)).when(form == 4, F.concat(noun, F.lit(" II - "), "p_brand")).when(form == 5, F.concat(F.lit("Analyst "), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("Junior "), noun, F.lit(" / ring")))
+    return titles.titles_by_rules(p.select(said.alias("title")), rules, plain.unionByName(hot).unionByName(lead))
+
+
+def _request_pauses(m: Mart) -> DataFrame:
+    """A user's events as requests: errors weigh nothing, and a third of them are retries."""
+    log = read(m.spark, m.dir, "events").select("event_id", "user_id", "event_type")
+    failed, key = F.col("event_type") == "error", F.col("event_id")
+    found = pacing.pauses(log, ["user_id"], ["event_id"], F.when(failed, 0).otherwise(1 + key % 2), (failed & (key % 3 == 0)).cast("int"), 12, 20)
+    return found.select("event_id", "since_sleep", "sleeps", "since_reset", "resets")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "gold_top_skills": lambda m: gold.top_skills(m.facts, m.bridge, m.skills),
@@ -452,6 +499,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_postings": lambda m: _ingested(m, ingest.POSTINGS).select("scrape_run_id", "job_id", "source_url", "title_raw", "company_raw", "location_raw", "seniority_level_raw", "description_raw"),
         "resolver_outcomes": _resolver_outcomes,
         "skills_by_vocabulary": _skills_by_vocabulary,
+        "location_rules": _location_rules,
+        "title_rules": _title_rules,
+        "request_pauses": _request_pauses,
         "claimed_runs": _claimed_runs,
         "published_orders": _published_orders,
     }

@@ -205,4 +205,21 @@ QUERIES = {
     ),
     "latest_posting_per_company": sql("SELECT company, job_posting_raw_id, scraped_at FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY scraped_at DESC, job_posting_raw_id DESC) AS rn FROM fact) WHERE rn = 1", "fact"),
     "skill_demand_in_window": sql("SELECT skill_name, job_posting_count, dense_rank() OVER (ORDER BY job_posting_count DESC, skill_name) AS demand_rank FROM (SELECT skill_name, count(*) AS job_posting_count FROM asked WHERE scraped_at >= TIMESTAMP '1996-01-01' AND scraped_at < TIMESTAMP '1997-01-01' GROUP BY 1)", "asked"),
+    "location_rules": """WITH homes AS (SELECT c_custkey, c_custkey % 40 AS k, n_name, CASE WHEN n_regionkey = 1 THEN 'S' || n_nationkey END AS code, CASE WHEN n_regionkey = 1 THEN 'United States' ELSE n_name END AS country FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ cities AS (SELECT k, code, country, count(*) AS weight FROM homes GROUP BY ALL),
+ said AS (SELECT o_orderkey % 8 AS form, CASE WHEN o_orderkey % 8 = 5 AND o_orderkey % 45 < 40 THEN o_orderkey % 45 ELSE k END AS first, o_orderkey % 45 AS other, k, n_name, code, country FROM orders JOIN homes ON o_custkey = c_custkey),
+ texts AS (SELECT DISTINCT CASE form WHEN 0 THEN 'Suite 5, City ' || k || ', ' || n_name || ' 10001' WHEN 1 THEN 'city ' || k WHEN 2 THEN n_name WHEN 3 THEN 'Remote' WHEN 4 THEN 'Location, ' || n_name WHEN 5 THEN 'city ' || other || '; City ' || k || ', ' || n_name WHEN 6 THEN lower(n_name) || ' - City ' || k ELSE 'City ' || k || ', ' || coalesce(code, 'USA') END AS location,
+  CASE WHEN form NOT IN (2, 3, 4) THEN first END AS city, CASE WHEN form IN (0, 5, 6, 7) THEN code END AS said_state, CASE WHEN form IN (0, 5, 6) AND code IS NULL THEN country WHEN form = 7 AND code IS NULL THEN 'United States' END AS said_country,
+  CASE WHEN form = 2 AND code IS NOT NULL THEN n_name || ', ' || country END AS as_state FROM said),
+ ranked AS (SELECT location, 'City ' || k || ', ' || coalesce(code, country) AS value, row_number() OVER (PARTITION BY location ORDER BY coalesce(code = said_state, false) DESC, coalesce(country = said_country, false) DESC, weight DESC, country, code) AS r FROM texts JOIN cities ON k = city)
+ SELECT location, coalesce(value, as_state, 'Unknown') AS value FROM texts LEFT JOIN (SELECT * FROM ranked WHERE r = 1) USING (location)""",
+    "title_rules": """WITH p AS (SELECT DISTINCT p_partkey % 7 AS form, CASE WHEN p_partkey % 7 = 5 THEN p_partkey END AS id, p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS n, p_brand FROM part),
+ q AS (SELECT *, n IN ('widget', 'gizmo') AS ring, CASE WHEN n IN ('widget', 'gizmo') THEN 'Ring Makers' WHEN n <> 'anvil' THEN upper(n[1]) || n[2:] || ' Makers' ELSE 'Unknown' END AS maker FROM p),
+ s AS (SELECT *, CASE WHEN a = 'hot' AND NOT ring THEN 'Hot ' || upper(n[1]) || n[2:] || ' Specialists' ELSE maker END AS full_name FROM q)
+ SELECT DISTINCT CASE form WHEN 0 THEN 'Sr. ' || p_name || ', Finance Department' WHEN 1 THEN upper(p_name) WHEN 2 THEN 'Seeking ' || p_name WHEN 3 THEN a || ' Lead ' || n WHEN 4 THEN n || ' II - ' || p_brand WHEN 5 THEN 'Analyst ' || id ELSE 'Junior ' || n || ' / ring' END AS title,
+  CASE form WHEN 0 THEN full_name WHEN 1 THEN full_name WHEN 3 THEN CASE WHEN n = 'bolt' THEN 'Bolt Leads' ELSE full_name END WHEN 4 THEN maker WHEN 6 THEN CASE WHEN n = 'anvil' THEN 'Ring Makers' ELSE maker END ELSE 'Unknown' END AS value FROM s""",
+    "request_pauses": """WITH RECURSIVE r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_type = 'error' THEN 0 ELSE 1 + event_id % 2 END AS w, event_type = 'error' AND event_id % 3 = 0 AS again FROM events),
+ c AS (SELECT user_id, n, event_id, w, CAST(0 AS BIGINT) AS s, again AS sl, CAST(0 AS BIGINT) AS t, false AS rs FROM r WHERE n = 1
+ UNION ALL SELECT r.user_id, r.n, r.event_id, r.w, b.s, b.s >= 12 OR r.again, b.t, b.t >= 20 FROM (SELECT user_id, n + 1 AS n, CASE WHEN sl THEN 0 ELSE s END + w AS s, CASE WHEN rs THEN 0 ELSE t END + w AS t FROM c) b JOIN r ON r.user_id = b.user_id AND r.n = b.n)
+ SELECT event_id, s AS since_sleep, sl AS sleeps, t AS since_reset, rs AS resets FROM c""",
 }
