@@ -4,6 +4,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from vocatio.plans import catalogue, oracle
 
@@ -60,3 +62,9 @@ def test_nothing_outside_imports_the_optional_parts():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "vocatio.llm" not in p.read_text() and "corpus_pipeline" not in p.read_text(), p
+
+
+@needs_data
+def test_pages_of_a_small_file_are_parsed_by_all_tasks(spark):
+    for name in ("parse_job_post", "parse_search_cards"):
+        assert catalogue.queries()[name](spark, SMALL).select(F.spark_partition_id()).distinct().count() >= 4, name
