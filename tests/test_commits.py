@@ -267,3 +267,20 @@ def test_skills_of_batches_before_a_failure_stay(spark, store):
     after = dict(store.read(outcomes.SKILLS).select("skill_name", "skill_id").collect())
     assert {k: after[k] for k in ids} == ids and sorted(after.values()) == list(range(1, 7))
     assert outcomes.extract_in_waves(store, work, listed) is None
+
+
+def test_a_wave_of_few_bytes_is_asked_by_all_tasks_and_reads_no_other(spark, store):
+    work = spark.range(300).selectExpr("'title' AS domain", "cast(null AS boolean) AS use_title_key", "concat('k', id) AS key", "cast(id div 3 AS int) AS batch_no")
+    asked = outcomes.outcome_rows(work, lambda domain, inputs, before: inputs)
+    assert asked.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+    for i, wave in enumerate(outcomes._waves(store, work.drop("batch_no"), ["key"], 3, 40, "work")):
+        assert all(f"wave={i}/" in f for f in {r[0] for r in wave.select(F.input_file_name()).distinct().collect()})
+        assert wave.count() == (120, 120, 60)[i]
+
+
+def test_a_version_known_is_not_read_again(spark, store):
+    other = Store(spark, store.root)
+    for n in range(12):
+        (store if n % 2 else other).write(spark.range(1), f"t{n}")
+        assert other.version().number == store.version().number == n + 1 and other.exists(f"t{n}")
+    assert store.version() is store.version()

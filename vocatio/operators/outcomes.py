@@ -8,10 +8,13 @@ batch fails or the job dies, and a rerun asks only keys that have no value yet.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vocatio.functions.text import clean_key, clean_seniority
 from vocatio.operators.snapshots import batches
@@ -25,6 +28,9 @@ DOMAINS, SENTINEL = ("title", "location", "seniority"), "unknown"
 OUTCOMES = "resolver_outcomes"
 OUTCOME = "domain string, use_title_key boolean, key string, value string, error string, attempts int"
 
+#: Answers that a task hands over at once.
+ROWS_OUT = 10_000
+
 #: answer(domain, inputs, the answers before, if there were too many or too few) -> answers
 Answer = Callable[[str, list[str], list[str] | None], list[str]]
 
@@ -50,16 +56,36 @@ def asked(domain: str, keys: list[str], answer: Answer, retries: int = 1) -> tup
     return [None] * len(keys), f"{len(before)} answers for {len(inputs)} inputs", retries + 1
 
 
+def in_groups(rows: DataFrame, group: list[str], order: str, run: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """What ``run`` makes of each group's rows, in ascending order (nulls last). Groups are dealt to as many
+    tasks as the cluster runs at once, however few bytes they have, and follow one on the other in a task: a group of a few rows
+    costs no table of its own."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def all_groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for _, own in groupby((r for b in it for r in b.to_pylist()), key=lambda r: [r[c] for c in group]):
+            out += run(list(own))
+            if len(out) >= ROWS_OUT:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks, *group).sortWithinPartitions(*group, F.asc_nulls_last(order)).mapInArrow(all_groups, schema)
+
+
 def outcome_rows(keys: DataFrame, answer: Answer, retries: int = 1) -> DataFrame:
     """OUTCOME for each row of (domain, use_title_key, key, batch_no); a batch is asked at once, in one
     task. Seniorities outside their closed list become unknown."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("key", kind="stable")
-        values, error, n = asked(group["domain"].iloc[0], group["key"].tolist(), answer, retries)
-        return pd.DataFrame({"domain": group["domain"], "use_title_key": group["use_title_key"], "key": group["key"], "value": values, "error": error, "attempts": n})
+    def run(group: list[dict]) -> list[dict]:
+        domain, by_title = group[0]["domain"], group[0]["use_title_key"]
+        values, error, n = asked(domain, [r["key"] for r in group], answer, retries)
+        return [{"domain": domain, "use_title_key": by_title, "key": r["key"], "value": v, "error": error, "attempts": n} for r, v in zip(group, values, strict=True)]
 
-    rows = keys.groupBy("batch_no", "domain", "use_title_key").applyInPandas(run, OUTCOME)
+    rows = in_groups(keys.select("batch_no", "domain", "use_title_key", "key"), ["batch_no", "domain", "use_title_key"], "key", run, OUTCOME)
     return rows.withColumn("value", F.when((F.col("domain") == "seniority") & F.col("value").isNotNull(), clean_seniority(F.col("value"))).otherwise(F.col("value")))
 
 
@@ -77,10 +103,12 @@ def _waves(store: Store, work: DataFrame, order: list[str], batch: int, parallel
     store's own ones that is deleted at the end, so several processes may ask at the same time."""
     tx = store.begin()
     try:
-        numbered = tx.append(batches(work, order, batch), name, "bronze")
-        last = numbered.agg(F.max("batch_no")).first()[0]
-        for first in range(0, 0 if last is None else last + 1, parallel):
-            yield numbered.where(F.col("batch_no").between(first, first + parallel - 1))
+        # a wave's rows lie in a folder of their own: no wave reads another one's
+        numbered = batches(work, order, batch).withColumn("wave", F.expr(f"batch_no div {parallel}").cast("int"))
+        numbered = tx.append(numbered.repartition("wave"), name, "bronze", ("wave",))
+        last = numbered.agg(F.max("wave")).first()[0]
+        for wave in range(0 if last is None else last + 1):
+            yield numbered.where(F.col("wave") == wave).drop("wave")
     finally:
         tx.discard()
 
@@ -122,21 +150,24 @@ def extract_in_waves(store: Store, descriptions: DataFrame, extract: Callable[[s
     the rest of it isn't asked for. Names are compared as keys; blank ones don't count.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: list[dict]) -> list[dict]:
         out = []
-        for i, text in zip(group["job_posting_raw_id"], group["description"], strict=True):
+        for r in group:
+            found, error = None, None
             try:
-                out.append((i, list(extract(text)), None))
+                found = list(extract(r["description"]))
             except Exception as e:
-                out.append((i, None, str(e) or type(e).__name__))
+                error = str(e) or type(e).__name__
+            out.append({"job_posting_raw_id": r["job_posting_raw_id"], "skills": found, "error": error})
+            if error is not None:
                 break
-        return pd.DataFrame(out, columns=["job_posting_raw_id", "skills", "error"])
+        return out
 
     work = descriptions.select("job_posting_raw_id", "description").dropDuplicates(["job_posting_raw_id"])
     if store.exists(SKILL_OUTCOMES):
         work = work.join(store.read(SKILL_OUTCOMES).where("error is null").select("job_posting_raw_id"), "job_posting_raw_id", "left_anti")
     for wave in _waves(store, work, ["job_posting_raw_id"], batch, parallel, f"{SKILL_OUTCOMES}_work"):
-        ordered = wave.groupBy("batch_no").applyInPandas(lambda g: run(g.sort_values("job_posting_raw_id")), "job_posting_raw_id long, skills array<string>, error string")
+        ordered = in_groups(wave, ["batch_no"], "job_posting_raw_id", run, "job_posting_raw_id long, skills array<string>, error string")
         asked_once = store.begin()
         rows = asked_once.append(ordered, f"{SKILL_OUTCOMES}_wave")  # asked here, once, whatever the commit below meets
 
