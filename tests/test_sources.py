@@ -44,3 +44,37 @@ def test_store_replaces_a_table_by_what_is_computed_from_it(spark, tmp_path):
     s.write(spark.range(3), "t")
     s.write(s.read("t").select((F.col("id") + 1).alias("id")), "t")
     assert sorted(r.id for r in s.read("t").collect()) == [1, 2, 3]
+
+
+def test_plain_pages_give_the_tolerant_parsers_tree():
+    def shape(n):
+        return n if isinstance(n, str) else (n.tag, n.attrs, [shape(c) for c in n.children])
+
+    def tolerant(page):
+        p = html._Tree()
+        p.feed(page)
+        p.close()
+        return shape(p.root)
+
+    plain = ['<ul><li>a &amp; b<li class="x  y">c</ul>d', '<a href="u?a=1&amp;b=2">&nbsp;&copy</a></b>', "", "x > y & z", "<h1>t</h1><br><p>one<p>two"]
+    other = ["<B>x</B>", "<script>a<b</script>", "<!-- c -->x", "a < b", "<p class='q'>", '<br/>', '</p id="1">', "<title>a<b>", "<p"]
+    assert all(shape(html._plain(x)) == tolerant(x) for x in plain)
+    assert all(html._plain(x) is None for x in other) and all(shape(html.tree(x)) == tolerant(x) for x in plain + other)
+
+
+def test_a_page_captured_again_is_parsed_once(spark, monkeypatch):
+    seen, parse = [], html.post_of
+    monkeypatch.setattr(html, "post_of", lambda h: (seen.append(h), parse(h))[1])
+    assert [p["title"] for p in html.posts_of([POST, None, POST, "<h1>x</h1>", None])] == ["first", None, "first", "x", None]
+    assert seen == [POST, None, "<h1>x</h1>"]
+    monkeypatch.setattr(html, "KNOWN_CHARS", 0)
+    assert [p["title"] for p in html.posts_of([POST, "<h1>x</h1>", POST])] == ["first", "x", "first"] and len(seen) == 6
+
+
+def test_details_of_more_pages_than_a_batch(spark):
+    pages = spark.range(0, 2500, 1, 1).selectExpr("id AS job_id", "concat('<h1>t', id % 700, '</h1>') AS html")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        assert all(r.title == f"t{r.job_id % 700}" for r in html.job_posts(pages).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
