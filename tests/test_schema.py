@@ -142,3 +142,12 @@ def test_numbers_follow_the_order(spark):
     assert got == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert sorted(r.n for r in numbered(df, ["a"], "n").collect()) == list(range(1, 3001))
     assert numbered(df.limit(0), ["a"], "n").count() == 0
+
+
+def test_numbers_find_their_range_by_bisection(spark):
+    names = spark.range(5000).selectExpr("if(id % 50 = 0, null, concat('n', id % 4000)) AS name")
+    out = numbered(names, ["name"], "n")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "filter(__bounds" not in plan  # not every bound for every row
+    got = sorted((r.n, r.name is not None, r.name or "") for r in out.collect())
+    assert [x[0] for x in got] == list(range(1, 5001)) and got == sorted(got, key=lambda x: (x[1:], x[0]))
