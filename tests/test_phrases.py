@@ -49,3 +49,13 @@ def test_a_large_vocabulary(spark):
     book = spark.range(100_000).selectExpr("concat('skill ', id, ' of ', id % 7) as phrase")
     texts = spark.createDataFrame([(i, f"x skill {i} of {i % 7} skill {i} of 9", "", 0) for i in range(0, 100_000, 5000)], TEXTS)
     assert sorted(tuple(r) for r in phrases.phrase_spans(texts, book, "id", "text").collect()) == [(i, 1, 4, f"skill {i} of {i % 7}") for i in range(0, 100_000, 5000)]
+
+
+def test_a_small_vocabulary_shuffles_no_text(spark):
+    """Whatever size the tables it comes of seem to have."""
+    book = spark.range(400_000).selectExpr("concat('w', id % 9, ' x') as phrase")
+    texts = spark.range(20_000).selectExpr("id % 5000 as k", "concat('w', id % 9) as w").groupBy("k").agg({"w": "max"}).selectExpr("k as id", "concat(`max(w)`, ' X, y') as text")
+    found = phrases.skills_by_vocabulary(texts, book, "id", "text")
+    assert found.count() == 5000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2, plan  # the texts were dealt by one before; and the skills

@@ -2,8 +2,9 @@
 
 A phrase is met by its first two words (or its only one) in an equi-join, and then compared word by
 word with what follows in the text. So neither the vocabulary is a part of the plan, nor is every run
-of words of a text looked up. Small vocabularies are broadcast by Spark's own statistics, and then
-nothing but matches is shuffled; larger ones are joined by shuffle.
+of words of a text looked up. The book of phrases is written first, so that Spark knows its size: a
+small one is broadcast, and then nothing but matches is shuffled, once, or not at all where the texts
+are dealt by their ids already; a larger one is joined by shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from vocatio.functions.text import clean_key
 from vocatio.operators.resolvers import SKILLS
+from vocatio.sources.store import scratch
 
 
 def words_of(text: Column) -> Column:
@@ -56,7 +58,7 @@ def phrase_spans(texts: DataFrame, vocabulary: DataFrame, id_col: str, text_col:
     no match overlaps the one taken before. Null texts have none. Texts of one id are texts of their
     own, equal ones count once. An empty vocabulary or table gives an empty result.
     """
-    book = phrase_book(vocabulary, phrase)
+    book = scratch(texts.sparkSession, "phrases").begin().append(phrase_book(vocabulary, phrase), "book")
     longest = book.agg(F.max("n")).first()[0] or 1
     w = texts.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), words_of(F.col(text_col)).alias("w"))
     ahead = F.transform("w", lambda _, i: F.slice("w", i + 1, longest))
@@ -66,16 +68,14 @@ def phrase_spans(texts: DataFrame, vocabulary: DataFrame, id_col: str, text_col:
     keys = F.array_distinct(F.array(F.col("ahead")[0], two))
     met = places.select("id", "text", "at", "ahead", F.explode(keys).alias("key")).join(book, "key")
     met = met.where(F.slice("ahead", 1, F.col("n")) == F.col("words"))
-    best = met.groupBy("id", "text", "at").agg(F.max(F.struct("n", "phrase")).alias("m"))
-    # the matches of one text, in its order
-    lists = best.groupBy("id", "text").agg(F.array_sort(F.collect_list(F.struct("at", "m.n", "m.phrase"))).alias("all"))
-    taken = lists.withColumn("taken", _leftmost(F.col("all.at"), F.col("all.n")))
-    return taken.select("id", F.explode(F.arrays_zip("all", "taken")).alias("x")).where("x.taken").select("id", "x.all.at", "x.all.n", "x.all.phrase")
+    # the matches of one text, in its order, the longest first at each place; the rest there overlap it
+    lists = met.groupBy("id", "text").agg(F.array_sort(F.collect_set(F.struct("at", (-F.col("n")).alias("less"), "phrase"))).alias("all"))
+    taken = lists.withColumn("taken", _leftmost(F.col("all.at"), F.transform("all", lambda x: -x["less"])))
+    return taken.select("id", F.explode(F.arrays_zip("all", "taken")).alias("x")).where("x.taken").select("id", "x.all.at", (-F.col("x.all.less")).alias("n"), "x.all.phrase")
 
 
 def skills_by_vocabulary(texts: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str, most: int = SKILLS) -> DataFrame:
     """id_col, skills: the first ``most`` different phrases of each text that has any, in its order."""
     spans = phrase_spans(texts, vocabulary, id_col, text_col, vocabulary.columns[0])
-    first = spans.groupBy("id", "phrase").agg(F.min("at").alias("at"))
-    lists = first.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "phrase"))).alias("all"))
-    return lists.select(F.col("id").alias(id_col), F.slice("all.phrase", 1, most).alias("skills"))
+    lists = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("at", "phrase"))).alias("all"))
+    return lists.select(F.col("id").alias(id_col), F.slice(F.array_distinct("all.phrase"), 1, most).alias("skills"))
