@@ -364,6 +364,45 @@ def test_passages_of_an_id_with_several_texts(spark, n):
     assert {(r.doc_id, r.other_id) for r in rows} == {(50, 1), (50, 60)}
 
 
+@pytest.mark.parametrize("before,holders", [(1, passages.HOLDERS), (20, None)])
+def test_a_changed_passage_whose_seeds_have_several_first_holders(spark, before, holders):
+    """Two documents share a changed passage, each piece of which earlier documents hold, among other words."""
+    w = [f"p{i}" for i in range(60)]
+    other = [f"q{i}" if i % 6 == 5 else x for i, x in enumerate(w)]
+    del other[29]
+    around = lambda i, t: (i, " ".join([f"l{i}y{j}" for j in range(30)] + t + [f"r{i}y{j}" for j in range(30)]))
+    docs = [around(100 * k + g, w[6 * g : 6 * g + 5]) for g in range(10) for k in range(before)]
+    rows = passages.shared_passages(spark.createDataFrame([*docs, around(5000, w), around(6000, other)], DOC), holders=holders).collect()
+    assert [(r.doc_id, r.other_id) for r in rows] == [(6000, 5000)]
+    assert rows[0].end - rows[0].start >= 58 and rows[0].same == 50
+
+
+def test_a_passage_like_two_that_are_not_alike_is_linked_with_both(spark):
+    w = [f"p{i}" for i in range(60)]
+    put = lambda i, at: (i, " ".join([f"l{i}y{j}" for j in range(30)] + [f"{i}q{j}" if j in at else x for j, x in enumerate(w)] + [f"r{i}y{j}" for j in range(30)]))
+    docs = [put(1, range(6, 54, 5)), put(2, range(8, 56, 5)), put(3, ())]
+    rows = passages.shared_passages(spark.createDataFrame(docs, DOC)).collect()
+    assert {(r.doc_id, r.other_id) for r in rows} == {(3, 1), (3, 2)}
+
+
+def test_matches_of_a_seed_are_those_of_all_its_holders(monkeypatch):
+    rnd = random.Random(8)
+    for n, holders in ((1, 3), (40, 3), (40, None), (400, 3), (400, 6), (400, None)):
+        monkeypatch.setattr(passages, "MATCHES_AT_ONCE", rnd.choice((7, 1000)))
+        seeds = sorted((rnd.randrange(n // 8 + 1), rnd.randrange(9), rnd.randrange(99)) for _ in range(n))
+        value, doc, _ = (np.array(c) for c in zip(*seeds, strict=True))
+        got = {(int(k), int(m)) for ks, ms in passages._pairs(value, doc, holders) for k, m in zip(ks, ms, strict=True)}
+        want = set()
+        for v in set(value.tolist()):
+            at = np.flatnonzero(value == v).tolist()
+            held = len({doc[i] for i in at})
+            firsts = [i for i in at if i == at[0] or doc[i] != doc[i - 1]]
+            far = v % 2 or (holders is not None and held > holders)
+            met = at[:1] if far else firsts if holders is not None and len(at) > holders else at
+            want |= {(k, m) for k in at for m in met if doc[m] < doc[k]}
+        assert got == want
+
+
 def test_minimizers_cover_every_window():
     rnd = np.random.default_rng(3)
     grams = rnd.integers(0, 50, 400).astype(np.uint64)
