@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vocatio.operators import cascade, fuzzy, resolvers
+from vocatio.plans import catalogue
 from vocatio.settings import DEFAULT
 
 POSTINGS = [
@@ -41,6 +42,23 @@ def test_readiness_and_the_stuck_posting(mart):
     assert strict == found | {("seniority", False, "lead")}
 
 
+def test_distinct_keys_give_the_same_unresolved_keys(mart):
+    p, t, loc, s = mart
+    once = cascade.distinct_keys(p)
+    assert sorted(once.collect()) == sorted(cascade.posting_keys(p).select(*once.columns).distinct().collect())
+    for strict in (False, True):
+        assert set(cascade.unresolved(once, t, loc, s, strict).collect()) == set(cascade.unresolved(cascade.posting_keys(p), t, loc, s, strict).collect())
+
+
+def test_resolved_by_method_keeps_no_postings(spark):
+    m = catalogue.Mart(spark, "/root/testdata/sf0.001")
+    try:
+        m.unresolved.count()
+        assert "postings" not in m._made and "kinds" in m._made
+    finally:
+        m.release()
+
+
 def test_summary(mart):
     p, t, loc, s = mart
     keys = cascade.posting_keys(p)

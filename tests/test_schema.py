@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from vocatio.operators import backfill, checks, ledger
+from vocatio.operators import backfill, cascade, checks, ledger
 from vocatio.operators.snapshots import batches, dimension, insert_new, numbered, upsert, with_ids
 from vocatio.plans import gold, silver
 
@@ -50,6 +50,32 @@ def test_facts_stay_but_stg_follows_the_maps(spark, world):
     assert facts_of(stg, facts_of(stg)).count() == facts_of(stg).count()
 
 
+def test_stg_without_joining_postings_with_themselves(spark, world):
+    p, _, t, loc, s, _ = world
+    # a key of two ready rows, one of a ready row and one that isn't, and rows without keys
+    p = p.union(spark.createDataFrame([posting(1, 1, title="dev "), posting(1, 4), posting(1, 4, title="New"), posting(3, 8, level=" "), posting(3, 9, location="Gone"), (None, *posting(3, 10)[1:])], RAW))
+    ready = cascade.readiness(p, t, loc, s)
+    once = silver.stg_of_ready(p, t, loc, s)
+    assert sorted(once.collect(), key=str) == sorted(silver.stg_job_postings(p, ready, t, loc, s).collect(), key=str)
+    assert sum(r.job_posting_raw_id == 1 for r in once.collect()) == 4
+    # nothing but the maps is joined: postings are read once
+    assert not any(k in once._jdf.queryExecution().optimizedPlan().toString() for k in ("LeftSemi", "Join Inner"))
+
+
+def test_fact_rows_are_those_of_the_facts(spark, world):
+    stg = world[-1]
+    odd = stg.where("job_posting_raw_id < 4").withColumn("job_posting_raw_id", F.col("job_posting_raw_id") + 20)
+    stg = stg.union(odd.withColumn("title_normalized", F.lit(" "))).union(odd.withColumn("location_normalized", F.lit("Unknown"))).union(odd.withColumn("seniority_normalized", F.lit("unknown")))
+    assert sorted(r.job_posting_raw_id for r in silver.fact_rows(stg).collect()) == sorted(r.job_posting_raw_id for r in facts_of(stg).collect())
+
+
+def test_dimensions_of_names_are_those_of_postings(world):
+    stg = world[-1]
+    for dim, name in ((silver.dim_titles, "title_normalized"), (silver.dim_companies, "company_raw"), (silver.dim_locations, "location_normalized")):
+        for when in ("true", "scraped_at < timestamp'2024-01-03'"):
+            assert sorted(dim(silver.names(stg, name).where(when)).collect()) == sorted(dim(stg.where(when)).collect())
+
+
 def test_gold(spark, world):
     facts = facts_of(world[-1])
     skills = silver.dim_skills(spark.createDataFrame([("SQL",), (" sql",), ("Python",)], "skill_name string"))
