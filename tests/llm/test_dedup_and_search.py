@@ -403,6 +403,62 @@ def test_matches_of_a_seed_are_those_of_all_its_holders(monkeypatch):
         assert got == want
 
 
+def test_common_seeds_go_with_the_others_and_match_once_an_occurrence(spark, monkeypatch):
+    """Texts are scanned once for all seeds, whatever is common; matches of a line grow with its holders, not with
+    their square. None of the documents of least id, where hubs are sought first, holds the line."""
+    apart = lambda i, *more: (i, " ".join([*(f"{i}l{j}" for j in range(9)), *more, *(f"{i}r{j}" for j in range(9))]))
+    line = [f"w{j}" for j in range(20)]
+    for n in (60, 120):
+        docs = [apart(i) for i in range(2 * n)] + [apart(1000 + i, *line) for i in range(n)]
+        df = spark.createDataFrame(docs, "doc long, text string").repartition(3)
+        monkeypatch.setattr(passages, "HOT_SAMPLE", 1000)
+        plain = sorted(map(tuple, passages._matches(df, 45, passages.HOLDERS).collect()))
+        monkeypatch.setattr(passages, "HOT_SAMPLE", 2)
+        m = passages._matches(df, 45, passages.HOLDERS)
+        plan = m._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("MapInArrow") == 2 and "Union" not in plan
+        got = sorted(map(tuple, m.collect()))
+        places = {at for _, _, at in got}
+        assert got == plain == [(1000 + i, 1000, at) for i in range(1, n) for at in sorted(places)] and places
+
+
+def test_seeds_are_sorted_alike_however_they_come():
+    rnd = np.random.default_rng(4)
+    for n in (0, 1, 2, 50, 5000):
+        for far in (3, 1 << 47):  # many equal ones; none, and some that only the lower bits tell apart
+            value = rnd.integers(0, far, n).astype(np.uint64) * np.uint64(1 << 16) + rnd.integers(0, 3, n).astype(np.uint64)
+            doc, pos = rnd.integers(0, 9, n), rnd.integers(0, 99, n)
+            assert (passages.stable_order(value) == np.argsort(value, kind="stable")).all()
+            order = np.lexsort((pos, doc, value))
+            for want, got in zip((value, doc, pos), passages.by_seed(value, doc, pos), strict=True):
+                assert (want[order] == got).all()
+
+
+def test_no_chain_that_makes_a_passage_is_hopeless():
+    """Nor one of which a part does; and on one diagonal hopeless ones are told."""
+    rnd = random.Random(12)
+    told = good = 0
+    for _ in range(600):
+        n, off = rnd.randrange(8, 150), rnd.randrange(30)
+        y = np.array([rnd.randrange(1000) for _ in range(n + off)])
+        share = rnd.choice((0.1, 0.5, 0.7, 0.8, 0.9))
+        x = np.array([v if rnd.random() < share else -1 for v in y[off:].tolist()])
+        a = sorted(rnd.sample(range(n - passages.K + 1), min(rnd.randrange(1, 5), n - passages.K + 1)))
+        for p in a:
+            x[p : p + passages.K] = y[off + p : off + p + passages.K]
+        b = [p + off for p in a]
+        makes = False
+        for i in range(len(a)):
+            for j in range(i + 1, len(a) + 1):
+                f = passages.align(a[i:j], b[i:j], x, y, 0, 0, 20, 0.8)
+                short, longer = sorted((f[1] - f[0], f[3] - f[2]))
+                makes |= short >= 20 and f[4] >= 0.8 * longer
+        no = passages.hopeless(a, b, x, y, 0, 0, 20, 0.8)
+        assert not (no and makes)
+        told, good = told + no, good + makes
+    assert told > 20 and good > 20
+
+
 def test_minimizers_cover_every_window():
     rnd = np.random.default_rng(3)
     grams = rnd.integers(0, 50, 400).astype(np.uint64)
