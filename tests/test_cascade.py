@@ -79,6 +79,27 @@ def test_resolved_by_method(spark):
     assert {(r.domain, r.method): r.n for r in cascade.resolved_by_method(rows).collect()} == {("title", "llm"): 2, ("seniority", "fuzzy"): 1}
 
 
+def test_resolved_by_method_counts_what_the_maps_resolve(spark, mart):
+    """The map is the first method: keys that it has count as its own, "lead" by its title's row."""
+    p, t, loc, s = mart
+    keys = cascade.posting_keys(p)
+    missing = cascade.unresolved(keys, t, loc, s)
+    rows = resolvers.by_rules(missing).select("domain", F.lit("llm").alias("method"))
+    got = {(r.domain, r.method): r.n for r in cascade.resolved_by_method(rows, keys, missing).collect()}
+    assert got == {("title", "map"): 1, ("location", "map"): 1, ("seniority", "map"): 3, ("title", "llm"): 1, ("location", "llm"): 1, ("seniority", "llm"): 1}
+
+
+def test_resolved_by_method_over_tables_accounts_for_every_key(spark):
+    m = catalogue.Mart(spark, "/root/testdata/sf0.001")
+    try:
+        got = {(r.domain, r.method): r.n for r in catalogue._resolved(m).collect()}
+        total = {r.domain: r["count"] for r in cascade.all_keys(m.kinds).groupBy("domain").count().collect()}
+        assert {d for d, method in got if method == "map"} == {"title", "location", "seniority"}
+        assert {d: sum(n for (x, _), n in got.items() if x == d) for d in total} == total
+    finally:
+        m.release()
+
+
 def test_sleep_grows_with_retries():
     assert DEFAULT.next_sleep(0, 0.5) == 210 and DEFAULT.next_sleep(1, 0.0) == 420
 
