@@ -377,6 +377,32 @@ def test_a_changed_passage_whose_seeds_have_several_first_holders(spark, before,
     assert rows[0].end - rows[0].start >= 58 and rows[0].same == 50
 
 
+def test_a_changed_passage_of_common_seeds_is_found_without_asking(spark):
+    """As above, with more first holders than HOLDERS: the query itself has no bound."""
+    w = [f"p{i}" for i in range(60)]
+    other = [f"q{i}" if i % 6 == 5 else x for i, x in enumerate(w)]
+    around = lambda i, t: (i, " ".join([f"l{i}y{j}" for j in range(30)] + t + [f"r{i}y{j}" for j in range(30)]))
+    docs = [around(100 * k + g, w[6 * g : 6 * g + 5]) for g in range(10) for k in range(passages.HOLDERS + 4)]
+    rows = passages.shared_passages(spark.createDataFrame([*docs, around(5000, w), around(6000, other)], DOC)).collect()
+    assert [(r.doc_id, r.other_id, r.same) for r in rows] == [(6000, 5000, 50)]
+
+
+def test_pairs_of_a_common_seed_are_shared_out(spark, monkeypatch):
+    """Each once, the same whether seeds are known as common or not."""
+    line = [f"w{j}" for j in range(20)]
+    docs = [(i, " ".join([*(f"{i}l{j}" for j in range(9)), *line, *(f"{i}r{j}" for j in range(9))])) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc long, text string").repartition(3)
+    found = []
+    for sample in (100_000, 2):
+        monkeypatch.setattr(passages, "HOT_SAMPLE", sample)
+        found.append(sorted(map(tuple, passages._matches(df, 45, None).collect())))
+    assert found[0] == found[1] and len(found[0]) == len(set(found[0]))
+    assert {(d, h) for d, h, _ in found[0]} == {(d, h) for d in range(40) for h in range(d)}
+    value, doc = np.array([2] * 30 + [5] * 30 + [8] * 3), np.array([*range(30), *range(30), 1, 1, 2])
+    all_ = lambda *part: [x for ks, ms in passages._pairs(value, doc, None, *part) for x in zip(ks.tolist(), ms.tolist(), strict=True)]
+    assert sorted(x for part in range(4) for x in all_(part, 4)) == sorted(all_())
+
+
 def test_a_passage_like_two_that_are_not_alike_is_linked_with_both(spark):
     w = [f"p{i}" for i in range(60)]
     put = lambda i, at: (i, " ".join([f"l{i}y{j}" for j in range(30)] + [f"{i}q{j}" if j in at else x for j, x in enumerate(w)] + [f"r{i}y{j}" for j in range(30)]))
