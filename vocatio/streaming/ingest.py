@@ -47,11 +47,12 @@ def ingested(responses: DataFrame, stored: DataFrame, keep: Callable[[DataFrame,
     job is passed over. A failed search fails its run. After a refused search all runs have failed and
     no posting is read; after a refused page of a job those of its run and later ones, and postings read
     before stay. Responses beyond the refused one count as not asked for. ``seen`` counts a run's cards,
-    ``inserted`` its postings. Null and empty pages give no cards; an empty batch gives nothing.
+    ``inserted`` its postings. Null and empty pages give no cards; an empty batch gives nothing. Runs and
+    stored jobs meet the rest by shuffle: only single rows are broadcast, as broadcasts are built in the driver.
     """
     runs = outcomes(responses)
     limit = F.coalesce(F.col("block.at"), F.lit(2**63 - 1))
-    asked = responses.join(runs.select("scrape_run_id", "began", limit.alias("limit"), (F.col("block").isNotNull() & F.col("block.job_id").isNull()).alias("closed")), "scrape_run_id").where(F.col("at") < F.col("limit"))
+    asked = responses.join(runs.select("scrape_run_id", "began", limit.alias("limit"), (F.col("block").isNotNull() & F.col("block.job_id").isNull()).alias("closed")).hint("merge"), "scrape_run_id").where(F.col("at") < F.col("limit"))
     good = asked.where(response_class(F.col("status")) == "successful")
     cards = keep(search_cards(good.where("job_id is null").select("scrape_run_id", "html")), CARDS)
     pages = good.where("job_id is not null and not closed").select("scrape_run_id", F.col("job_id").alias("post_id"), "html").dropDuplicates(["scrape_run_id", "post_id"])
@@ -63,7 +64,7 @@ def ingested(responses: DataFrame, stored: DataFrame, keep: Callable[[DataFrame,
     inserted = postings.groupBy("scrape_run_id").agg(F.count("*").alias("inserted"))
     # the run whose job's page was refused, and all that began later, hadn't ended
     first_open = runs.where("block.scrape_run_id = scrape_run_id").agg(F.min("began").alias("open"))  # one row
-    told = runs.crossJoin(F.broadcast(first_open)).join(seen, "scrape_run_id", "left").join(inserted, "scrape_run_id", "left")
+    told = runs.crossJoin(F.broadcast(first_open)).join(seen.hint("merge"), "scrape_run_id", "left").join(inserted.hint("merge"), "scrape_run_id", "left")
     stopped = F.col("block").isNotNull() & (F.col("block.job_id").isNull() | (F.col("began") >= F.coalesce("open", F.lit(0))))
     failed = (F.col("result") == "failed") | stopped
     error = F.when(F.col("result") == "failed", "search failed").when(stopped, F.concat(F.lit("blocked: "), F.coalesce(F.col("block.status").cast("string"), F.lit("none"))))
